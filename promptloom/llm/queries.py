@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.llm import copies, encoding, visual
+from promptloom.llm import copies, encoding, mojibake, splits, visual
 from promptloom.storage import table
 
 CORPUS = "bangla_safety_prompt_dataset"
@@ -33,10 +33,26 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return prompts.unionByName(answers)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.overlaps(table(spark, d, CORPUS), "record_id", "prompt", "split")
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return splits.report(table(spark, d, CORPUS), "record_id", "prompt", "split", "source", "label")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.affected(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restored(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_forms, p8_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_forms, p5_found, p5_report, p8_ids, p10_found, p10_restored)}
 
 SQL: dict[str, str] = {}
