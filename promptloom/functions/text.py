@@ -27,3 +27,15 @@ def folded(text: Column) -> Column:
 def default(column: Column, value: str) -> Column:
     """A missing field's default; a null counts as missing."""
     return F.coalesce(column, F.lit(value))
+
+
+def clean_name(name: Column) -> Column:
+    """A source's name in lower case, without blanks and punctuation around it; null where nothing is left."""
+    plain = F.regexp_replace(F.lower(name), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    return F.when(plain != "", plain)
+
+
+def label_word(label: Column) -> Column:
+    """``safe`` or ``unsafe``, in whatever spelling and with whatever code after it; else null."""
+    word = F.lower(F.regexp_extract(strip(label), r"^(\p{L}+)", 1))
+    return F.when(word.isin("safe", "unsafe"), word)
