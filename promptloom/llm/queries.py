@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.llm import copies, encoding, mojibake, splits, visual
+from promptloom.llm import budget, copies, encoding, language, mixing, mojibake, packing, sampling, splits, visual
+from promptloom.functions import text as core_text
 from promptloom.storage import table
 
 CORPUS = "bangla_safety_prompt_dataset"
+#: The sample's size as a share of the corpus's rows, the mix's as a share of its total prompt length.
+SAMPLE_SHARE, MIX_SHARE = 0.1, 0.25
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +36,78 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return prompts.unionByName(answers)
 
 
+def p3_tokens(spark: SparkSession, d: str) -> DataFrame:
+    codes = sorted(r.lang for r in table(spark, d, "language_samples").select("lang").distinct().collect())
+    slices = {"source": core_text.clean_name(F.col("source")), "lang": language.code_of(F.col("lang"), codes), "topic_area": F.col("topic_area")}
+    return budget.budget(table(spark, d, CORPUS), "prompt", slices, "piece_bpe_32k")
+
+
+def _sample_plan(spark: SparkSession, d: str) -> tuple:
+    args = (table(spark, d, CORPUS), "record_id", core_text.label_word(F.col("label")), core_text.clean_name(F.col("source")))
+    return args, sampling.plan(*args, table(spark, d, "sample_targets"), SAMPLE_SHARE)
+
+
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    args, plan = _sample_plan(spark, d)
+    return sampling.sample(*args, plan).withColumnRenamed("id", "record_id")
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.report(_sample_plan(spark, d)[1])
+
+
+def _language_model(spark: SparkSession, d: str) -> language.Model:
+    labelled = [(table(spark, d, CORPUS), "record_id", "prompt", "lang"), (table(spark, d, "chat_batch_items"), "item_id", "prompt_bn", "lang")]
+    return language.fit(table(spark, d, "language_samples"), "lang", "sample_text", labelled)
+
+
+def _languages(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
+    model = _language_model(spark, d)
+    return [
+        ("prompt", language.identify(table(spark, d, CORPUS), "record_id", "prompt", "lang", model)),
+        ("prompt_bn", language.identify(table(spark, d, "chat_batch_items"), "item_id", "prompt_bn", "lang", model)),
+    ]
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [language.mislabelled(found).select(F.lit(name).alias("field_name"), "rec_id", "lang") for name, found in _languages(spark, d)]
+    return parts[0].unionByName(parts[1])
+
+
+def p6_segments(spark: SparkSession, d: str) -> DataFrame:
+    parts = [found.select(F.lit(name).alias("field_name"), "*") for name, found in _languages(spark, d)]
+    return parts[0].unionByName(parts[1])
+
+
+def _mix(spark: SparkSession, d: str) -> tuple:
+    args = (table(spark, d, CORPUS), "record_id", "prompt", "source")
+    fitted = mixing.fit(*args, table(spark, d, "mix_weights"), MIX_SHARE)
+    return args, fitted, mixing.mix(*args, fitted)
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[2].select(F.col("id").alias("record_id"), "source", "size", "n_uses")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    args, fitted, mixed = _mix(spark, d)
+    return mixing.report(mixed, mixing.rows_of(*args), fitted)
+
+
+def _specs(spark: SparkSession, d: str) -> tuple[list[tuple[int, str, int]], DataFrame]:
+    specs = table(spark, d, "container_specs")
+    return [(r.spec_id, r.tokenizer, r.capacity_tokens) for r in specs.orderBy("spec_id").collect()], specs
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"), "doc_id", "text", _specs(spark, d)[0])
+
+
+def p9_summary(spark: SparkSession, d: str) -> DataFrame:
+    specs, frame = _specs(spark, d)
+    return packing.summary(packing.pack_documents(table(spark, d, "documents"), "doc_id", "text", specs), frame)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.overlaps(table(spark, d, CORPUS), "record_id", "prompt", "split")
 
@@ -53,6 +128,12 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_forms, p5_found, p5_report, p8_ids, p10_found, p10_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_counts, p2_found, p2_forms, p3_tokens, p4_sample, p4_report, p5_found, p5_report, p6_found, p6_segments, p7_mix, p7_report,
+        p8_ids, p9_containers, p9_summary, p10_found, p10_restored,
+    )
+}
 
 SQL: dict[str, str] = {}
