@@ -59,8 +59,8 @@ def refusals(df: DataFrame, order: list[str], templates: list[str], mode: str =
 def template_usage(rows: DataFrame) -> DataFrame:
     """Rows of each response and their percentage of all; a missing response is the empty text."""
     counts = rows.groupBy(text.default(F.col("refusal_response"), "").alias("refusal_response")).agg(F.count(F.lit(1)).alias("n"))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("refusal_response", "n", percent(F.col("n"), F.col("total")).alias("percentage"))  # the total is one row
+    total = rows.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return counts.select("refusal_response", "n", percent(F.col("n"), total).alias("percentage"))
 
 
 def origin_counts(rows: DataFrame) -> DataFrame:
