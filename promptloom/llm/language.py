@@ -195,7 +195,8 @@ _SEGMENT = T.StructType(
 )
 
 
-def _identify(model: Model) -> Callable:
+def _identify(model: Model, only_wrong: bool = False) -> Callable:
+    """``only_wrong``: of each text that is mixed or whose label is missing or wrong, one row for each of its languages."""
     number = {c: k for k, c in enumerate(model.codes)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,6 +223,12 @@ def _identify(model: Model) -> Callable:
                 sums = np.concatenate([np.zeros((1, prob.shape[1])), np.cumsum(prob, axis=0, dtype=np.float64)])
                 confidence = (sums[first + size] - sums[first])[np.arange(len(first)), lang] / np.maximum(1, size)
                 position = np.arange(len(first)) - np.searchsorted(text, text)
+                if only_wrong:
+                    wrong = np.flatnonzero((count[text] > 1) | (label != lang))
+                    _, once = np.unique(text[wrong] * len(model.codes) + lang[wrong], return_index=True)
+                    own = wrong[once]
+                    yield pa.RecordBatch.from_arrays([part.column("rec_id").take(pa.array(text[own])), pa.array(model.codes, pa.string()).take(pa.array(lang[own]))], ["rec_id", "lang"])
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("rec_id").take(pa.array(text)),
@@ -298,12 +305,11 @@ def identify(df: DataFrame, key: str, text: str, lang: str, model: Model) -> Dat
     return rows.filter(core_text.not_blank(F.col("text"))).mapInArrow(_identify(model), _SEGMENT)
 
 
-def mislabelled(found: DataFrame) -> DataFrame:
+def mislabelled(df: DataFrame, key: str, text: str, lang: str, model: Model) -> DataFrame:
     """``rec_id, lang`` of texts whose label is missing or wrong, and of all mixed texts, once for each language of a run of four words.
 
-    A mixed text's languages come from separate segments of one row of ``found`` each; the rows of one text
-    are made by one task, so grouping them moves only mixed texts.
+    Null, blank and wordless texts are none. There is no shuffle.
     """
-    one = found.filter("n_segments = 1 and (label is null or label <> lang)").select("rec_id", "lang")
-    several = found.filter("n_segments > 1").select("rec_id", "lang").distinct()
-    return one.unionByName(several)
+    rows = df.select(df[key].cast("bigint").alias("rec_id"), code_of(df[lang], model.codes).alias("label"), without_fields(df[text]).alias("text"))
+    schema = T.StructType([T.StructField("rec_id", T.LongType()), T.StructField("lang", T.StringType())])
+    return rows.filter(core_text.not_blank(F.col("text"))).mapInArrow(_identify(model, only_wrong=True), schema)

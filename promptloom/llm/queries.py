@@ -61,21 +61,18 @@ def _language_model(spark: SparkSession, d: str) -> language.Model:
     return language.fit(table(spark, d, "language_samples"), "lang", "sample_text", labelled)
 
 
-def _languages(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
-    model = _language_model(spark, d)
-    return [
-        ("prompt", language.identify(table(spark, d, CORPUS), "record_id", "prompt", "lang", model)),
-        ("prompt_bn", language.identify(table(spark, d, "chat_batch_items"), "item_id", "prompt_bn", "lang", model)),
-    ]
+_TEXTS = ((CORPUS, "record_id", "prompt"), ("chat_batch_items", "item_id", "prompt_bn"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [language.mislabelled(found).select(F.lit(name).alias("field_name"), "rec_id", "lang") for name, found in _languages(spark, d)]
+    model = _language_model(spark, d)
+    parts = [language.mislabelled(table(spark, d, t), key, text, "lang", model).select(F.lit(text).alias("field_name"), "rec_id", "lang") for t, key, text in _TEXTS]
     return parts[0].unionByName(parts[1])
 
 
 def p6_segments(spark: SparkSession, d: str) -> DataFrame:
-    parts = [found.select(F.lit(name).alias("field_name"), "*") for name, found in _languages(spark, d)]
+    model = _language_model(spark, d)
+    parts = [language.identify(table(spark, d, t), key, text, "lang", model).select(F.lit(text).alias("field_name"), "*") for t, key, text in _TEXTS]
     return parts[0].unionByName(parts[1])
 
 
