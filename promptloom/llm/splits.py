@@ -32,10 +32,14 @@ COUNT_BITS = 16
 _NEVER = np.int64(-1)
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text, by their hashes: letter case, white space and punctuation aside."""
-    plain = F.regexp_replace(F.lower(text), rf"[\p{{P}}{core_text.BLANKS[1:-1]}]+", " ")
-    return F.transform(F.split(F.trim(plain), " "), lambda w: F.xxhash64(w))
+def plain_words(text: Column) -> Column:
+    """The words of a text with one space between: letter case, white space and punctuation aside."""
+    return F.trim(F.regexp_replace(F.lower(text), rf"[\p{{P}}{core_text.BLANKS[1:-1]}]+", " "))
+
+
+def words_of(plain: Column) -> Column:
+    """The words of a plain text, by their hashes."""
+    return F.transform(F.split(plain, " "), lambda w: F.xxhash64(w))
 
 
 def _window_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -173,18 +177,14 @@ def _rows(df: DataFrame, key: str, text: str, split: str, train: str, evaluation
     part = F.lower(core_text.strip(df[split]))
     rows = df.select(df[key].alias("id"), df[text].alias("text"), part.alias("part"), *(df[c].alias(f"x_{c}") for c in extra))
     rows = rows.filter(F.col("part").isin(train, *evaluation) & core_text.not_blank(F.col("text")))
-    rows = rows.withColumn("w", words_of(F.col("text"))).filter(F.col("w")[0] != F.xxhash64(F.lit("")))
-    return rows.withColumn("in_train", F.col("part") == train)
-
-
-def _class(words: Column) -> Column:
-    """16 bytes that name a word sequence."""
-    return F.unhex(F.md5(F.array_join(words.cast("array<string>"), " ")))
+    rows = rows.withColumn("plain", plain_words(F.col("text"))).filter("plain <> ''")
+    # 16 bytes name a word sequence
+    return rows.withColumn("c", F.unhex(F.md5("plain"))).withColumn("in_train", F.col("part") == train)
 
 
 def class_pairs(rows: DataFrame) -> DataFrame:
-    """``c_e, c_t``: the classes of evaluation and training texts that are equal or almost equal. ``rows`` has ``id, c, w, in_train``."""
-    classes = rows.groupBy("c", "w").agg(F.min("id").alias("cid"), F.bool_or("in_train").alias("t"), F.bool_or(~F.col("in_train")).alias("e"))
+    """``c_e, c_t``: the classes of evaluation and training texts that are equal or almost equal. ``rows`` has ``id, c, plain, in_train``."""
+    classes = rows.select("id", "c", words_of(F.col("plain")).alias("w"), "in_train").groupBy("c", "w").agg(F.min("id").alias("cid"), F.bool_or("in_train").alias("t"), F.bool_or(~F.col("in_train")).alias("e"))
     classes = written(classes, "classes")
     counts = _word_counts(classes)
     index = written(classes.filter("e").select("cid", "w").mapInArrow(_index(counts), _KEY), "segments")
@@ -218,9 +218,9 @@ def overlaps(df: DataFrame, key: str, text: str, split: str, train: str = "train
     dropped or added. Rows with a null, blank or wordless text or with a null or other split are in no pair.
     Repeated rows each count. Pairs are found between distinct texts and expanded to rows at the end.
     """
-    rows = _rows(df, key, text, split, train, evaluation).select("id", _class(F.col("w")).alias("c"), "w", "in_train")
+    rows = _rows(df, key, text, split, train, evaluation).select("id", "c", "plain", "in_train")
     pairs = class_pairs(rows)
-    members = rows.select("id", "c", "in_train")
+    members = written(rows.select("id", "c", "in_train"), "members")
     t = members.filter("in_train").select(F.col("id").alias("t_id"), F.col("c").alias("c_t"))
     e = members.filter("not in_train").select(F.col("id").alias("e_id"), F.col("c").alias("c_e"))
     return pairs.join(t, "c_t").join(e, "c_e").select(F.least("t_id", "e_id").alias("a_id"), F.greatest("t_id", "e_id").alias("b_id"))
@@ -234,8 +234,9 @@ def report(df: DataFrame, key: str, text: str, split: str, source: str, label: s
     """
     kind = F.lower(F.regexp_extract(core_text.strip(df[label]), r"^(\p{L}+)", 1))
     rows = _rows(df.withColumn("_label", F.when(kind != "", kind)), key, text, split, train, evaluation, (source, "_label"))
-    rows = rows.select("id", _class(F.col("w")).alias("c"), "w", "in_train", "part", core_text.folded(F.col(f"x_{source}")).alias("source"), F.col("x__label").alias("label"))
-    pairs = class_pairs(rows.select("id", "c", "w", "in_train"))
+    rows = rows.select("id", "c", "plain", "in_train", "part", core_text.folded(F.col(f"x_{source}")).alias("source"), F.col("x__label").alias("label"))
+    pairs = class_pairs(rows.select("id", "c", "plain", "in_train"))
+    rows = written(rows.drop("plain"), "members")
     train_labels = rows.filter("in_train").groupBy(F.col("c").alias("c_t"), F.col("label").alias("t_label")).agg(F.count(F.lit(1)).alias("n"))
     by_class = pairs.join(train_labels, "c_t").groupBy("c_e", "t_label").agg(F.sum("n").alias("n"))
     by_class = by_class.groupBy("c_e").agg(F.sum("n").alias("pairs"), F.map_from_entries(F.collect_list(F.when(F.col("t_label").isNotNull(), F.struct("t_label", "n")))).alias("of"), F.sum(F.when(F.col("t_label").isNotNull(), F.col("n"))).alias("labelled"))
