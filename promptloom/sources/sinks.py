@@ -18,7 +18,7 @@ def json_lines(df: DataFrame, path: str) -> None:
 
 
 def _small(df: DataFrame, order: list[str], most: int) -> list:
-    rows = df.orderBy(*order).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).take(most + 1)
+    rows = (df.orderBy(*order) if order else df).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).take(most + 1)
     if len(rows) > most:
         raise ValueError(f"more than {most} rows: write them with json_lines")
     return [json.loads(r.j) for r in rows]
