@@ -140,8 +140,9 @@ def within(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_len: np.ndarray, m
         new[:, :-1] = np.minimum(new[:, :-1], band[:, 1:] + 1)  # one of a dropped
         new[:, j == 0] = i
         new = np.where(inside | (j[None, :] == 0), new, far)
-        for k in range(1, 2 * width + 1):  # one of b added
-            new[:, k] = np.where(inside[:, k], np.minimum(new[:, k], new[:, k - 1] + 1), new[:, k])
+        steps = np.arange(2 * width + 1, dtype=np.int32)
+        new = np.minimum.accumulate(new - steps, axis=1) + steps  # one of b added
+        new = np.where(inside | (j[None, :] == 0), new, far)
         band = np.minimum(new, far)
         done = np.flatnonzero(a_len == i)
         if len(done):
