@@ -69,11 +69,19 @@ def _by_length(batch: pa.RecordBatch, ids: str, words: str) -> Iterator[tuple[np
             yield id_[own], flat[offs[own][:, None] + np.arange(n)]
 
 
-_KEY = T.StructType([T.StructField(n, t) for n, t in (("key", T.LongType()), ("cid", T.LongType()), ("at", T.IntegerType()), ("n", T.IntegerType()), ("sig", T.LongType()))])
+_KEY = T.StructType([T.StructField(n, t) for n, t in (("key", T.LongType()), ("cid", T.LongType()), ("lo", T.IntegerType()), ("hi", T.IntegerType()), ("n", T.IntegerType()), ("sig", T.LongType()))])
 
 
-def _key_batch(key: np.ndarray, cid: np.ndarray, at_: np.ndarray, n: int, sig: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cid), pa.array(at_.astype(np.int32)), pa.array(np.full(len(key), n, np.int32)), pa.array(sig.view(np.int64))], _KEY.names)
+def _key_batch(key: np.ndarray, row: np.ndarray, at_: np.ndarray, cid: np.ndarray, n: int, sig: np.ndarray) -> pa.RecordBatch:
+    """One row for each window of a text, with its first and last place: a text that repeats itself stays small."""
+    order = np.lexsort((at_, key, row))
+    key, row, at_ = key[order], row[order], at_[order]
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    start = np.flatnonzero(first)
+    last = np.append(start[1:], len(key)) - 1
+    key, row, lo, hi = key[start], row[start], at_[start].astype(np.int32), at_[last].astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cid[row]), pa.array(lo), pa.array(hi), pa.array(np.full(len(key), n, np.int32)), pa.array(sig[row].view(np.int64))], _KEY.names)
 
 
 def cut(frequency: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +108,7 @@ def _index(counts: np.ndarray) -> Callable:
                     at_row, at_piece = np.nonzero(size == k)
                     if len(at_row):
                         key[at_row, at_piece] = _window_hashes(words, k)[at_row, start[at_row, at_piece]]
-                yield _key_batch(key.ravel(), np.repeat(cid, pieces), start.ravel(), n, np.repeat(sig, pieces))
+                yield _key_batch(key.ravel(), np.repeat(np.arange(len(cid)), pieces), start.ravel(), cid, n, sig)
 
     return run
 
@@ -114,7 +122,7 @@ def _probe(filter_: np.ndarray) -> Callable:
                     key = _window_hashes(words, k)
                     row, start = np.nonzero(sketch.passes(filter_, key.ravel()).reshape(key.shape))
                     if len(row):
-                        yield _key_batch(key[row, start], cid[row], start, n, sig[row])
+                        yield _key_batch(key[row, start], row, start, cid, n, sig)
 
     return run
 
@@ -158,7 +166,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offs = [at.offsets(lens) for _, lens in lists]
         longest = np.maximum(lists[0][1], lists[1][1])
         keep = np.zeros(batch.num_rows, bool)
-        order = np.argsort(longest, kind="stable")
+        order = np.argsort(-longest, kind="stable")  # the longest of a piece decides its size
         k = 0
         while k < len(order):
             size = max(1, 200_000 // max(1, int(longest[order[k]])))
@@ -193,7 +201,7 @@ def class_pairs(rows: DataFrame) -> DataFrame:
     probes = classes.filter("t").select("cid", "w").mapInArrow(_probe(filter_), _KEY)
     e, t = index.alias("e"), probes.alias("t")
     most = F.expr(f"greatest(e.n, t.n) div {WORDS_PER_EDIT}")
-    near = (F.abs(F.col("e.n") - F.col("t.n")) <= most) & (F.abs(F.col("e.at") - F.col("t.at")) <= most) & (F.bit_count(F.col("e.sig").bitwiseXOR(F.col("t.sig"))) <= 2 * most)
+    near = (F.abs(F.col("e.n") - F.col("t.n")) <= most) & (F.col("t.lo") - F.col("e.hi") <= most) & (F.col("e.lo") - F.col("t.hi") <= most) & (F.bit_count(F.col("e.sig").bitwiseXOR(F.col("t.sig"))) <= 2 * most)
     candidates = e.join(t, (F.col("e.key") == F.col("t.key")) & (F.col("e.cid") != F.col("t.cid")) & near).select(F.col("e.cid").alias("e_id"), F.col("t.cid").alias("t_id")).distinct()
     left = classes.filter("e").select(F.col("cid").alias("e_id"), F.col("c").alias("c_e"), F.col("w").alias("w_e"))
     right = classes.filter("t").select(F.col("cid").alias("t_id"), F.col("c").alias("c_t"), F.col("w").alias("w_t"))

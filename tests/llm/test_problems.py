@@ -66,7 +66,7 @@ def test_overlaps_against_brute_force(spark):
             at = random.randrange(len(text) + 1)
             text[at : at + random.randint(0, 1)] = [random.choice(vocabulary)] * random.randint(0, 1)
         data.append((k, " ".join(text).upper() if k % 5 == 0 else ", ".join(text), random.choice(["train", "train", "Test ", "validation", None, "other"]), "s", "safe"))
-    data += [(900, None, "train", "s", None), (901, " ", "test", "s", None), (902, "!?", "test", "s", "safe"), (903, "!", "train", "s", "safe"), (904, "w1 " * 20_000, "train", None, "safe"), (905, "w1 " * 20_000 + "x", "test", None, "unsafe\nS1")]
+    data += [(900, None, "train", "s", None), (901, " ", "test", "s", None), (902, "!?", "test", "s", "safe"), (903, "!", "train", "s", "safe"), (904, "w1 " * 3_000, "train", None, "safe"), (905, "w1 " * 3_000 + "x", "test", None, "unsafe\nS1")]
     df = spark.createDataFrame([(*r, "k") for r in data], "record_id long, prompt string, split string, source string, label string, key string")
     own = [(i, words(p), s.strip().lower()) for i, p, s, *_ in data if p and s and words(p) and i < 900]
     train, test = [x for x in own if x[2] == "train"], [x for x in own if x[2] in ("test", "validation")]
@@ -139,7 +139,8 @@ def test_pack_keeps_capacity_and_wastes_little():
         where = packing.pack(sizes, 100)
         fill = np.bincount(where, weights=sizes, minlength=1)
         assert fill.max(initial=0) <= 100
-        assert len(fill) <= max(1, -(-int(sizes.sum()) // 100)) + 2 or (sizes > 50).sum() >= len(fill) - 1
+        least = max(1, -(-int(sizes.sum()) // 100), int((sizes > 50).sum()))  # no packing needs fewer
+        assert len(fill) <= 1.03 * least + 1
     groups = packing.step_groups(np.arange(130))
     assert len(set(groups.tolist())) == 3 and np.ptp(np.bincount(groups, weights=np.arange(130))) < 150
 
