@@ -255,8 +255,11 @@ def code_of(lang: Column, codes: list[str]) -> Column:
 
 
 def without_fields(text: Column) -> Column:
-    """A JSON object's text without its field names."""
-    return F.when(text.rlike(r"\A\s*\{"), F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"\s*:', " ")).otherwise(text)
+    """A JSON object's text without its field names, however long its strings and however many escapes they hold.
+
+    Possessive, so that nothing recurses; no match starts at an escaped quote, so that each string is passed over once.
+    """
+    return F.when(text.rlike(r"\A\s*\{"), F.regexp_replace(text, r'(?<!\\)"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*:', " ")).otherwise(text)
 
 
 def fit(samples: DataFrame, lang: str, text: str, labelled: list[tuple[DataFrame, str, str, str]], fit_rows: int = FIT_ROWS) -> Model:

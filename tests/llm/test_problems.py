@@ -114,6 +114,17 @@ def test_languages(spark):
     assert got == ["bn-Latn", "bn-Latn", "bn", None, None, None]
 
 
+def test_field_names_of_long_json(spark):
+    names = {"plain": "x" * 200_000, "escapes": 'a\\"b\n: ' * 40_000, "quo\"ted": ["y", 'z": 1', {"in": "\\\\"}], "last": True}
+    texts = [json.dumps(names), json.dumps({"q": 'say "q": no' * 20_000}), '{"open ' + "x" * 200_000, '"no object": 1']
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    got = {r.id: r.out for r in df.select("id", language.without_fields(F.col("text")).alias("out")).collect()}
+    want = texts[0]
+    for k in ("plain", "escapes", "quo\"ted", "in", "last"):
+        want = want.replace(f"{json.dumps(k)}:", " ", 1)
+    assert got == {0: want, 1: texts[1].replace('"q":', " ", 1), 2: texts[2], 3: texts[3]}
+
+
 def test_garbled_passages(spark):
     clean = ["আমার বন্ধু বলে", "শান্ত নদী é naïve “quiet” — café", "╔═╗ │ таблица вот", "अच्छा दिन", "x" * 1000]
     bad = {"cp1252": lambda s: "".join(chr(b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in s.encode())}
