@@ -24,8 +24,9 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 #: A word's n-grams overlap and are far from independent: what they say together counts by this share.
 SHARE = 1 / 6
-#: The most that one word can say for or against a language, and the price of a change, in nats.
-WORD_LIMIT, CHANGE = 6.0, 8.0
+#: The most that one word can say for or against a language, and the price of a change, in nats: a run in mid-text pays
+#: two changes, so that two clear words never suffice and four need not be quite clear.
+WORD_LIMIT, CHANGE = 6.0, 6.0
 #: Words that a run must have to make its language one of the text's.
 MIN_RUN = 4
 #: About so many labelled rows of each table and language are drawn to fit the model, besides the certain samples;
@@ -119,7 +120,10 @@ class Model:
 
 
 def best_paths(scores: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """The language of each word: the best path of each text, all texts at once, longest first."""
+    """The language of each word: the best path of each text, all texts at once, longest first.
+
+    The share of a language counts once, where the text begins, so that a change to a rare one costs no more than another.
+    """
     lens = np.diff(rows)
     order = np.argsort(-lens, kind="stable")
     starts, lens = rows[:-1][order], lens[order]
@@ -135,7 +139,7 @@ def best_paths(scores: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.nd
         n = int(active[i])
         stay = total[:n]
         top = stay.argmax(axis=1)
-        change = (stay[np.arange(n), top] - CHANGE)[:, None] + prior[None, :]
+        change = (stay[np.arange(n), top] - CHANGE)[:, None]
         moved = change > stay
         back[starts[:n] + i] = np.where(moved, top[:, None], np.arange(states)[None, :])
         total[:n] = np.where(moved, change, stay) + scores[starts[:n] + i]

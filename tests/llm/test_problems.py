@@ -114,6 +114,20 @@ def test_languages(spark):
     assert got == ["bn-Latn", "bn-Latn", "bn", None, None, None]
 
 
+@pytest.mark.parametrize("share", [0.0, -3.8, -6.9])
+def test_runs_of_four_words(share):
+    def languages(n_words, nats):
+        scores = np.tile(np.array([[0.0, -6.0]], np.float32), (24, 1))
+        scores[10 : 10 + n_words] = [-nats, 0.0]
+        rows = np.array([0, 24])
+        path = language.best_paths(scores, rows, np.array([0.0, share], np.float32))
+        first, _ = language._segments(path, rows)
+        return path[first].tolist()
+
+    assert languages(4, 4.0) == languages(4, 6.0) == [0, 1, 0]
+    assert languages(1, 6.0) == languages(2, 6.0) == languages(3, 6.0) == [0]
+
+
 def test_field_names_of_long_json(spark):
     names = {"plain": "x" * 200_000, "escapes": 'a\\"b\n: ' * 40_000, "quo\"ted": ["y", 'z": 1', {"in": "\\\\"}], "last": True}
     texts = [json.dumps(names), json.dumps({"q": 'say "q": no' * 20_000}), '{"open ' + "x" * 200_000, '"no object": 1']
