@@ -33,7 +33,8 @@ MIN_RUN = 4
 #: never more than twice as many. Equal numbers keep a rare language's words as likely as those of a common one.
 FIT_ROWS = 2_000
 #: What a row's own label says for its language, in nats, where the text leaves the choice open: most labels are right.
-LABEL_WORTH = 3.0
+#: Open is a text whose words alone, without the languages' shares, speak against the label by less than the margin.
+LABEL_WORTH, LABEL_MARGIN = 3.0, 3.0
 _SMOOTH = 0.3
 
 
@@ -218,8 +219,10 @@ def _identify(model: Model, only_wrong: bool = False) -> Callable:
                 alone = np.flatnonzero(count[text] == 1)
                 if len(alone):
                     run_sums = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(scores, axis=0, dtype=np.float64)])
-                    total = run_sums[first[alone] + size[alone]] - run_sums[first[alone]] + model.prior
+                    own = run_sums[first[alone] + size[alone]] - run_sums[first[alone]]
+                    total = own + model.prior
                     known = np.flatnonzero(label[alone] >= 0)
+                    known = known[own[known].max(axis=1) - own[known, label[alone][known]] < LABEL_MARGIN]
                     total[known, label[alone][known]] += LABEL_WORTH
                     lang[alone] = total.argmax(axis=1)
                 prob = np.exp(scores)

@@ -7,6 +7,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,14 @@ def test_runs_of_four_words(share):
     assert languages(1, 6.0) == languages(2, 6.0) == languages(3, 6.0) == [0]
 
 
+def test_a_clear_word_outweighs_the_label():
+    texts, labels = [t for l in ("bn", "hi") for t in SAMPLES[l]], [l for l in ("bn", "hi") for _ in SAMPLES[l]]
+    model = language.Model.fit(texts, labels, ["bn", "hi"], {"bn": 40_000, "hi": 1_000})
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["bn", "bn", "hi"]), pa.array(["घड़ी", "zq", "घड़ी"])], ["rec_id", "label", "text"])
+    found = [x for out in language._identify(model)(iter([batch])) for x in out.column("lang").to_pylist()]
+    assert found == ["hi", "bn", "hi"]
+
+
 def test_field_names_of_long_json(spark):
     names = {"plain": "x" * 200_000, "escapes": 'a\\"b\n: ' * 40_000, "quo\"ted": ["y", 'z": 1', {"in": "\\\\"}], "last": True}
     texts = [json.dumps(names), json.dumps({"q": 'say "q": no' * 20_000}), '{"open ' + "x" * 200_000, '"no object": 1']
