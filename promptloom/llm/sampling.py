@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Priority ranges: the state of a reservoir, and what is collected for each category at most.
 RANGES = 4096
+#: A target is met if the actual share is off by at most this part of it: minima and exhausted categories move the others.
+TOLERANCE = 0.02
 
 
 def _rows(df: DataFrame, key: str, label: Column, source: Column, seed: int) -> DataFrame:
@@ -88,10 +90,15 @@ def sample(df: DataFrame, key: str, label: Column, source: Column, plan_: Plan,
 
 
 def report(plan_: Plan) -> DataFrame:
-    """Each target with what there is, its quota, the actual share, and whether it was met, raised to the minimum, or exhausted."""
+    """Each target with what there is, its quota, the actual share, and whether that is the target's, within TOLERANCE (``met``).
+
+    Else its rows are ``exhausted``, it was raised to the ``minimum``, or what other categories lack or have too much
+    of leaves its share ``above`` or ``below`` the target.
+    """
     size = sum(r["quota"] for r in plan_.rows)
     df = plan_.frame()
-    actual = F.round(F.try_divide(F.col("quota").cast("double"), F.lit(float(size))), 6)
+    actual = F.try_divide(F.col("quota").cast("double"), F.lit(float(size)))
     share = F.round("target_share", 6)
-    status = F.when(F.col("quota") >= F.col("available"), F.when(F.col("available") == 0, "no rows").otherwise("exhausted")).when(F.col("quota") == F.col("min_rows"), "minimum").otherwise("met")
-    return df.select("label", "source", share.alias("target_share"), "min_rows", "available", "quota", actual.alias("actual_share"), status.alias("status"))
+    status = F.when(F.col("quota") >= F.col("available"), F.when(F.col("available") == 0, "no rows").otherwise("exhausted")).when(F.col("quota") == F.col("min_rows"), "minimum")
+    status = status.when(actual > F.col("target_share") * (1 + TOLERANCE), "above").when(actual < F.col("target_share") * (1 - TOLERANCE), "below").otherwise("met")
+    return df.select("label", "source", share.alias("target_share"), "min_rows", "available", "quota", F.round(actual, 6).alias("actual_share"), status.alias("status"))

@@ -216,6 +216,16 @@ def test_sample(spark):
     assert sampling.sample(df.limit(0), *args[1:], sampling.plan(df.limit(0), *args[1:], targets, 0.25)).count() == 0
 
 
+def test_shares_moved_by_an_exhausted_category_are_not_met(spark):
+    rows = [("safe", "a", 0.25, 1, 900, 250), ("unsafe", "a", 0.25, 1, 900, 247), ("safe", "b", 0.3, 1, 900, 300), ("safe", "c", 0.2, 1, 120, 120), ("unsafe", "c", 0.0, 20, 900, 20)]
+    names = ("label", "source", "target_share", "min_rows", "available", "quota")
+    plan = sampling.Plan(spark, [dict(zip(names, r), bound=0, rest=0) for r in rows])
+    assert {(r.label, r.source): r.status for r in sampling.report(plan).collect()} == {("safe", "a"): "above", ("unsafe", "a"): "above", ("safe", "b"): "above", ("safe", "c"): "exhausted", ("unsafe", "c"): "minimum"}
+    few = [("safe", "a", 0.495, 1, 900, 495), ("safe", "b", 0.495, 1, 900, 495), ("safe", "c", 0.01, 60, 900, 60)]
+    plan = sampling.Plan(spark, [dict(zip(names, r), bound=0, rest=0) for r in few])
+    assert {r.source: r.status for r in sampling.report(plan).collect()} == {"a": "below", "b": "below", "c": "minimum"}
+
+
 def test_mix(spark):
     data = [(i, f"alpha text {i}", "A.") for i in range(600)] + [(1000 + i, f"beta text {i}", "b") for i in range(60)] + [(5000, "beta text", None), (5001, None, "a"), (5002, " ", "a"), (5003, "other", "c")]
     df = spark.createDataFrame([(*r, 1) for r in data], "record_id long, prompt string, source string, size int")
