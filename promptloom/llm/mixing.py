@@ -1,9 +1,9 @@
 """Problem 7: sources mixed to target shares of the total size.
 
 A classifier over the labelled rows gives every row its membership in the sources: certain where the row names one,
-posterior probabilities where it does not. Rows of one membership have one rate, so the corpus is first
-reduced to its distinct memberships, rounded to a grid; projected-gradient least squares over these fits nonnegative
-rates, at most the allowed repeats, whose expected sizes by source are the targets.
+posterior probabilities where it does not. Rows of like membership have one rate: the corpus is first reduced to
+groups, by memberships rounded to a grid, with the sums of their exact posteriors; projected-gradient least squares over
+the groups, on the driver, fits nonnegative rates, at most the allowed repeats, whose expected sizes by source are the targets.
 """
 
 from __future__ import annotations
@@ -44,6 +44,22 @@ def classifier(rows: DataFrame, names: list[str]) -> np.ndarray:
     return np.vstack([np.log(counts / counts.sum(axis=0)), np.log(docs / docs.sum())])
 
 
+def _posterior(matrix: np.ndarray, words: list[int]) -> np.ndarray:
+    score = matrix[np.array(words, np.int64)].sum(axis=0) + matrix[-1]
+    p = np.exp(score - score.max())
+    return p / p.sum()
+
+
+def posteriors(matrix: np.ndarray, features: Column) -> Column:
+    """The exact posteriors; null for null."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(arr: pa.Array) -> pa.Array:
+        return pa.array([None if words is None else _posterior(matrix, words).tolist() for words in arr.to_pylist()], pa.list_(pa.float64()))
+
+    return run(features)
+
+
 def memberships(matrix: np.ndarray, features: Column) -> Column:
     """Posteriors in steps of 1/GRID, as counts of steps that add up to GRID; null for null."""
 
@@ -54,9 +70,7 @@ def memberships(matrix: np.ndarray, features: Column) -> Column:
             if words is None:
                 out.append(None)
                 continue
-            score = matrix[np.array(words, np.int64)].sum(axis=0) + matrix[-1]
-            p = np.exp(score - score.max())
-            p = p / p.sum() * GRID
+            p = _posterior(matrix, words) * GRID
             steps = np.floor(p).astype(int)
             for k in np.argsort(steps - p, kind="stable")[: GRID - steps.sum()]:
                 steps[k] += 1
@@ -101,12 +115,16 @@ def rows_of(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
 
 
 def _with_membership(rows: DataFrame, names: list[str], matrix: np.ndarray) -> DataFrame:
-    """A row whose source has a target is a certain member of it, a row without a source a probable one of several; others are none."""
+    """A row whose source has a target is a certain member of it, a row without a source a probable one of several; others are none.
+
+    ``member`` is the membership on the grid, ``posterior`` the exact one.
+    """
     certain = F.lit(None).cast("array<int>")
     for k, name in enumerate(names):
         certain = F.when(F.col("source") == name, F.array(*(F.lit(GRID if j == k else 0) for j in range(len(names))))).otherwise(certain)
-    soft = memberships(matrix, F.when(F.col("source").isNull(), _features(F.col("text"))))
-    return rows.withColumn("member", F.coalesce(certain, soft)).filter(F.col("member").isNotNull())
+    unnamed = F.when(F.col("source").isNull(), _features(F.col("text")))
+    exact = F.coalesce(F.transform(certain, lambda n: n / F.lit(float(GRID))), posteriors(matrix, unnamed))
+    return rows.withColumns({"member": F.coalesce(certain, memberships(matrix, unnamed)), "posterior": exact}).filter(F.col("member").isNotNull())
 
 
 def fit(df: DataFrame, key: str, text: str, source: str, weights: DataFrame, fraction: float) -> Mix:
@@ -115,11 +133,12 @@ def fit(df: DataFrame, key: str, text: str, source: str, weights: DataFrame, fra
     names, shares, repeats = [r.source for r in wanted], [float(r.target_share or 0) for r in wanted], [int(r.max_repeats or 0) for r in wanted]
     rows = rows_of(df, key, text, source)
     matrix = classifier(rows, names)
-    groups = _with_membership(rows, names, matrix).groupBy("member").agg(F.sum("size").alias("size")).collect()
+    parts = (F.sum(F.col("size") * F.col("posterior")[k]) for k in range(len(names)))
+    groups = _with_membership(rows, names, matrix).groupBy("member").agg(F.sum("size").alias("size"), F.array(*parts).alias("parts")).collect()
     total = fraction * float(rows.agg(F.sum("size")).first()[0] or 0)
-    member = np.array([r.member for r in groups], np.float64).reshape(len(groups), len(names)) / GRID
+    member = np.array([[x / r.size for x in r.parts] for r in groups], np.float64).reshape(len(groups), len(names))
     # a row is used no more often than any source allows that it may belong to
-    most = np.array([min(n for n, p in zip(repeats, m) if p > 0) for m in member], np.float64)
+    most = np.array([min(n for n, p in zip(repeats, r.member) if p > 0) for r in groups], np.float64)
     rate = fit_rates(member, np.array([float(r.size) for r in groups]), most, np.array(shares) * total)
     return Mix(names, shares, repeats, matrix, {tuple(r.member): float(x) for r, x in zip(groups, rate)}, total)
 
@@ -135,18 +154,19 @@ def mix(df: DataFrame, key: str, text: str, source: str, fitted: Mix, seed: int
     rows = rows.join(F.broadcast(table), "member")  # one row for each membership on the grid
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / F.lit(float(1 << 53))
     uses = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
-    return rows.select("id", "source", "size", uses.alias("n_uses"), "member").filter("n_uses > 0")
+    return rows.select("id", "source", "size", uses.alias("n_uses"), "posterior").filter("n_uses > 0")
 
 
 def report(mixed: DataFrame, available: DataFrame, fitted: Mix) -> DataFrame:
     """For each source: target, rows and size there are, rows and uses in the mix, its size, actual share and whether the target was met.
 
-    A source's size is that of the rows that name it and of what rows without a source are likely to hold of it.
+    A source's size is that of the rows that name it and of what rows without a source are likely to hold of it, by
+    their exact posteriors.
     """
     spark = mixed.sparkSession
-    parts = mixed.select("source", "size", "n_uses", F.posexplode("member").alias("k", "p")).filter("p > 0")
+    parts = mixed.select("source", "size", "n_uses", F.posexplode("posterior").alias("k", "p")).filter("p > 0")
     got = parts.groupBy("k").agg(
-        F.sum(F.col("size") * F.col("n_uses") * F.col("p") / GRID).alias("mixed_size"),
+        F.sum(F.col("size") * F.col("n_uses") * F.col("p")).alias("mixed_size"),
         F.sum(F.when(F.col("source").isNotNull(), 1).otherwise(0)).alias("n_rows_used"),
         F.sum(F.when(F.col("source").isNotNull(), F.col("n_uses")).otherwise(0)).alias("n_uses"),
     )

@@ -241,6 +241,22 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), *args[1:], empty).count() == 0
 
 
+def test_small_shares_of_unnamed_rows_count(spark):
+    data = [(i, "common", "b" if i % 10 == 0 else "a") for i in range(2000)] + [(5000 + i, "common", None) for i in range(1000)]
+    df = spark.createDataFrame(data, "record_id long, prompt string, source string")
+    weights = spark.createDataFrame([("a", 0.88, 1), ("b", 0.12, 1)], "source string, target_share double, max_repeats int")
+    args = (df, "record_id", "prompt", "source")
+    fitted = mixing.fit(*args, weights, 0.5)
+    mixed = mixing.mix(*args, fitted)
+    used = collections.Counter(r.source for r in mixed.collect() for _ in range(r.n_uses))
+    report = {r.source: r for r in mixing.report(mixed, mixing.rows_of(*args), fitted).collect()}
+    a, b = (n * (n + 0.5) / (n + 0.5 * mixing.BUCKETS) for n in (1800, 200))
+    small = b / (a + b)  # under half a step of the grid
+    assert 0 < small < 0.1 and used[None] > 0 and abs(report["b"].mixed_size - 6 * (used["b"] + used[None] * small)) < 0.01
+    rate = fitted.rates[4, 0], fitted.rates[0, 4]
+    assert abs(rate[1] * 200 + rate[0] * 1000 * small - 0.12 * 1500) < 1  # expected rows of b: named, and its part of the unnamed
+
+
 def test_rates_reach_feasible_targets():
     member = np.array([[1, 0], [0, 1], [0.5, 0.5]])
     rate = mixing.fit_rates(member, np.array([1000.0, 100.0, 50.0]), np.array([1.0, 4.0, 1.0]), np.array([300.0, 300.0]))
