@@ -179,6 +179,25 @@ def test_pack_keeps_capacity_and_wastes_little():
     assert len(set(groups.tolist())) == 3 and np.ptp(np.bincount(groups, weights=np.arange(130))) < 150
 
 
+def test_pack_is_packing_by_tiers():
+    rng = np.random.default_rng(3)
+    for sizes in (rng.integers(1, 129, 600), np.minimum(128, rng.geometric(0.03, 600))):
+        tier = packing.tier_of(sizes, 128)
+        tiers = [sorted((int(s) for s in sizes[tier == k]), reverse=True) for k in range(packing.TIERS)]
+        want = []
+        for own in tiers:
+            while own:  # the tier's longest opens a container; its gap takes the longest that fits of the first tier that has one
+                window = [own.pop(0)]
+                while any(fits := [[x for x in t if x <= 128 - sum(window)] for t in tiers]):
+                    k = next(k for k, f in enumerate(fits) if f)
+                    tiers[k].remove(fits[k][0])
+                    window.append(fits[k][0])
+                want.append(window)
+        where = packing.pack(sizes, 128)
+        got = [sorted(sizes[where == c].tolist(), reverse=True) for c in range(int(where.max()) + 1)]
+        assert got == want
+
+
 @needs_files
 def test_packed_documents(spark):
     data = [(i, "word " * (i * 7 % 90), "x") for i in range(300)] + [(900, None, "x"), (901, "", "x"), (902, "long " * 1000, "x")]
