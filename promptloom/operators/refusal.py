@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import hashing, text
 from promptloom.operators.corpus import percent
-from promptloom.operators.position import with_position
+from promptloom.operators.position import with_running
 
 
 def is_unsafe(label: Column) -> Column:
@@ -21,12 +21,16 @@ def with_template(templates: list[str], custom: str | None = None) -> list[str]:
 
 
 def unsafe_prompts(df: DataFrame, order: list[str], own_id: str | None = None) -> DataFrame:
-    """Rows with a prompt (white space counts) and an unsafe label, with their position among **all** rows, from 0, and an id:
-    their own, or ``ref_`` and the position in at least four digits."""
-    rows = with_position(df, order, "pos")
+    """Rows with a prompt (white space counts) and an unsafe label, with their position ``pos`` among **all** rows, from 0, their number ``k`` among
+    the unsafe ones, from 1, and an id: their own, or ``ref_`` and the position in at least four digits.
+
+    One numbering pass; of rows that are not unsafe only the order columns go along.
+    """
+    wanted = F.coalesce((df["prompt"] != "") & is_unsafe(df["label"]), F.lit(False))
+    slim = df.select(*(F.when(wanted, F.col(c)).alias(c) if c not in order else F.col(c) for c in df.columns), wanted.alias("_unsafe"))
+    rows = with_running(slim, [F.col(c).asc_nulls_first() for c in order], {"k": F.col("_unsafe").cast("int")}, "pos").filter("_unsafe")
     made = F.format_string("ref_%04d", F.col("pos"))
-    rows = rows.withColumn("id", F.coalesce(F.col(own_id).cast("string"), made) if own_id else made)
-    return rows.filter((F.col("prompt") != "") & is_unsafe(F.col("label")))
+    return rows.withColumn("id", F.coalesce(F.col(own_id).cast("string"), made) if own_id else made).drop("_unsafe")
 
 
 def refusals(df: DataFrame, order: list[str], templates: list[str], mode: str = "round_robin", own_id: str | None = None) -> DataFrame:
@@ -39,9 +43,10 @@ def refusals(df: DataFrame, order: list[str], templates: list[str], mode: str =
     if not templates:
         raise ValueError("no templates")
     n = len(templates)
-    rows = unsafe_prompts(df, order, own_id)
+    needed = {*order, "prompt", "label", "source", *([own_id] if own_id else [])}
+    rows = unsafe_prompts(df.select(*(c for c in df.columns if c in needed)), order, own_id)
     if mode == "round_robin":
-        rows = with_position(rows, ["pos"], "k", start=1).withColumn("t", F.pmod("k", F.lit(n)).cast("int"))
+        rows = rows.withColumn("t", F.pmod("k", F.lit(n)).cast("int"))
     elif mode == "hashed":
         rows = rows.withColumn("t", hashing.bucket(F.col("id"), n))
     elif mode == "random":

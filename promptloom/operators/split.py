@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.functions import hashing
-from promptloom.operators.position import with_position
+from promptloom.operators.lowest import priority, split_lowest
 
 
 def encoded(label: Column) -> Column:
@@ -20,8 +20,8 @@ def training_frame(df: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """Rows of each value that is not null."""
-    return df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    """Rows of each value that is not null, the most frequent first, then by value."""
+    return df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column)
 
 
 def hash_split(df: DataFrame, key: str, test_percent: int = 20) -> DataFrame:
@@ -29,12 +29,15 @@ def hash_split(df: DataFrame, key: str, test_percent: int = 20) -> DataFrame:
     return df.withColumn("fold", F.when(hashing.bucket(F.col(key), 100) < test_percent, "test").otherwise("train"))
 
 
-def exact_split(df: DataFrame, order: list[str], test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """``fold`` with exactly ceil(share x rows) test rows: those that come first in a seeded random order of the unique ``order`` columns."""
-    n = df.count()
-    size = -int(-test_share * n // 1)
-    mixed = df.withColumn("_h", F.xxhash64(F.lit(seed), *order))
-    return with_position(mixed, ["_h", *order], "_k").withColumn("fold", F.when(F.col("_k") < size, "test").otherwise("train")).drop("_h", "_k")
+def exact_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
+    """``fold`` with exactly ceil(share x rows) test rows: those whose unique key has the lowest seeded hash.
+
+    The hash's bound comes from counts; only the rows of one narrow range at the bound are ranked, and nothing else moves.
+    """
+    wanted = -int(-test_share * df.count() // 1)
+    rows = df.select("*", F.lit(0).alias("_g"), priority(F.md5(F.concat(F.lit(f"{seed}:"), df[key].cast("string")))).alias("_h"))
+    inside, outside = split_lowest(rows, {0: wanted}, [key], "_g", "_h")
+    return inside.withColumn("fold", F.lit("test")).unionByName(outside.withColumn("fold", F.lit("train"))).drop("_g", "_h")
 
 
 def leakage(df: DataFrame, text: str, fold: str) -> DataFrame:

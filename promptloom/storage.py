@@ -1,7 +1,8 @@
 """Intermediate tables that survive the loss of an executor.
 
 A table that several later stages read is written once, as Parquet, into the shared folder that
-``spark.checkpoint.dir`` names, and read back: lineage ends there and columns can be pruned.
+``spark.checkpoint.dir`` names, and read back: lineage ends there and columns can be pruned. The
+tables are deleted when the driver's JVM ends.
 """
 
 from __future__ import annotations
@@ -30,11 +31,23 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own_folder
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete what a path holds when the driver's JVM ends."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "lz4").parquet(path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
