@@ -6,15 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def fit_length(ids: Column, size: int, pad: int) -> Column:
+def fit_length(ids: Column, size: int | Column, pad: int) -> Column:
     """Cut to ``size`` or filled up on the right; null for null."""
-    return F.concat(F.slice(ids, 1, size), F.array_repeat(F.lit(pad), F.greatest(F.lit(size) - F.size(ids), F.lit(0))))
+    size = F.lit(size) if isinstance(size, int) else size
+    return F.concat(F.slice(ids, F.lit(1), size), F.array_repeat(F.lit(pad), F.greatest(size - F.size(ids), F.lit(0))))
 
 
-def attention_mask(ids: Column, size: int) -> Column:
+def attention_mask(ids: Column, size: int | Column) -> Column:
     """1 for each kept id, 0 for filling."""
-    kept = F.least(F.size(ids), F.lit(size))
-    return F.when(ids.isNotNull(), F.concat(F.array_repeat(F.lit(1), kept), F.array_repeat(F.lit(0), F.lit(size) - kept)))
+    size = F.lit(size) if isinstance(size, int) else size
+    kept = F.least(F.size(ids), size)
+    return F.when(ids.isNotNull(), F.concat(F.array_repeat(F.lit(1), kept), F.array_repeat(F.lit(0), size - kept)))
 
 
 def softmax(scores: Column) -> Column:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from promptloom.operators.position import with_running
+from promptloom.storage import written
+
 
 def ratio(a: Column, b: Column) -> Column:
     """0 where undefined."""
@@ -30,15 +32,19 @@ def _cells(df: DataFrame) -> DataFrame:
     return kept.groupBy("model").agg(*(F.count_if((y == a) & (p == b)).alias(n) for a, b, n in ((1, 1, "tp"), (0, 1, "fp"), (1, 0, "fn"), (0, 0, "tn"))))
 
 
-def precision_recall_f1(df: DataFrame) -> DataFrame:
-    """Of class 1, with accuracy; undefined ratios are 0."""
+def _ratios(cells: DataFrame) -> DataFrame:
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    return _cells(df).select(
+    return cells.select(
         "model", F.round(ratio(tp + tn, tp + fp + fn + tn), 6).alias("accuracy"), F.round(ratio(tp, tp + fp), 6).alias("precision"), F.round(ratio(tp, tp + fn), 6).alias("recall"),
         F.round(ratio(2 * tp, 2 * tp + fp + fn), 6).alias("f1"),
     )
 
 
+def precision_recall_f1(df: DataFrame) -> DataFrame:
+    """Of class 1, with accuracy; undefined ratios are 0."""
+    return _ratios(_cells(df))
+
+
 def class_report(df: DataFrame, names: tuple[str, str] = ("safe", "unsafe")) -> DataFrame:
     """``model, row, precision, recall, f1, support``: both classes, macro and weighted means; accuracy in all three of its row."""
     c = _cells(df)
@@ -55,40 +61,55 @@ def class_report(df: DataFrame, names: tuple[str, str] = ("safe", "unsafe")) ->
     return c.select("model", F.inline(grid))
 
 
-def _cumulative(df: DataFrame) -> DataFrame:
-    """Counts at or above each distinct score. Rows of one score collapse first, so the window holds distinct scores only."""
-    points = df.filter("y is not null and score is not null").groupBy("model", "score").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
-    down = W.partitionBy("model").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy("model")
-    return points.select("model", "score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum("n").over(whole).alias("neg"))
+def points(df: DataFrame) -> DataFrame:
+    """Rows of like ``model, score, yhat``, collapsed to their numbers of positives and negatives, written once: all that the metrics need."""
+    kept = df.filter("y is not null").groupBy("model", "score", "yhat")
+    return written(kept.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")), "points")
 
 
-def roc_points(df: DataFrame) -> DataFrame:
-    """``model, threshold, fpr, tpr`` at each distinct score; the start (0, 0) is left out."""
-    return _cumulative(df).select("model", F.col("score").alias("threshold"), F.round(ratio(F.col("fp"), F.col("neg")), 6).alias("fpr"), F.round(ratio(F.col("tp"), F.col("pos")), 6).alias("tpr"))
+def _cumulative(made: DataFrame) -> DataFrame:
+    """Counts at or above each distinct score, by running sums over ranges of scores, and of the model as a whole; ``p`` and ``n`` at the score."""
+    distinct = made.filter("score is not null").groupBy("model", "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    run = with_running(distinct, [F.col("model").asc_nulls_first(), F.col("score").desc()], {"run_p": F.col("p"), "run_n": F.col("n")})
+    whole = run.groupBy(F.col("model").alias("_m")).agg(
+        F.min(F.col("run_p") - F.col("p")).alias("p0"), F.min(F.col("run_n") - F.col("n")).alias("n0"), F.sum("p").alias("pos"), F.sum("n").alias("neg")
+    )
+    met = run.join(whole, F.col("model").eqNullSafe(F.col("_m")))
+    return met.select("model", "score", (F.col("run_p") - F.col("p0")).alias("tp"), (F.col("run_n") - F.col("n0")).alias("fp"), "p", "n", "pos", "neg")
 
 
-def roc_auc(df: DataFrame) -> DataFrame:
-    """Area under the ROC points by trapezoids from (0, 0)."""
-    step = W.partitionBy("model").orderBy(F.desc("score"))
-    c = _cumulative(df).select("model", "score", ratio(F.col("fp"), F.col("neg")).alias("x"), ratio(F.col("tp"), F.col("pos")).alias("y"))
-    area = (F.col("x") - F.lag("x", 1, 0.0).over(step)) * (F.col("y") + F.lag("y", 1, 0.0).over(step)) / 2
-    return c.withColumn("a", area).groupBy("model").agg(F.round(F.sum("a"), 6).alias("roc_auc"))
+def roc_points(df: DataFrame) -> DataFrame:
+    """``model, threshold, fpr, tpr`` at each distinct score; the start (0, 0) is left out."""
+    c = _cumulative(points(df))
+    return c.select("model", F.col("score").alias("threshold"), F.round(ratio(F.col("fp"), F.col("neg")), 6).alias("fpr"), F.round(ratio(F.col("tp"), F.col("pos")), 6).alias("tpr"))
 
 
 def pr_points(df: DataFrame) -> DataFrame:
     """``model, threshold, precision, recall`` at each distinct score; the start (recall 0, precision 1) is left out."""
-    return _cumulative(df).select(
+    return _cumulative(points(df)).select(
         "model", F.col("score").alias("threshold"), F.round(ratio(F.col("tp"), F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(ratio(F.col("tp"), F.col("pos")), 6).alias("recall")
     )
 
 
+def areas(made: DataFrame) -> DataFrame:
+    """``model, roc_auc, pr_auc``: trapezoids under both curves, from (0, 0) and from recall 0, precision 1. Each point knows the one before it
+    from its own counts."""
+    tp, fp, pos, neg = (F.col(c) for c in ("tp", "fp", "pos", "neg"))
+    tp0, fp0 = tp - F.col("p"), fp - F.col("n")
+    roc = (ratio(fp, neg) - ratio(fp0, neg)) * (ratio(tp, pos) + ratio(tp0, pos)) / 2
+    before = F.when(tp0 + fp0 > 0, ratio(tp0, tp0 + fp0)).otherwise(1.0)
+    pr = (ratio(tp, pos) - ratio(tp0, pos)) * (ratio(tp, tp + fp) + before) / 2
+    return _cumulative(made).groupBy("model").agg(F.round(F.sum(roc), 6).alias("roc_auc"), F.round(F.sum(pr), 6).alias("pr_auc"))
+
+
+def roc_auc(df: DataFrame) -> DataFrame:
+    """Area under the ROC points by trapezoids from (0, 0)."""
+    return areas(points(df)).select("model", "roc_auc")
+
+
 def pr_auc(df: DataFrame) -> DataFrame:
     """Area under the precision-recall points by trapezoids from recall 0, precision 1."""
-    step = W.partitionBy("model").orderBy(F.desc("score"))
-    c = _cumulative(df).select("model", "score", ratio(F.col("tp"), F.col("pos")).alias("x"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("y"))
-    area = (F.col("x") - F.lag("x", 1, 0.0).over(step)) * (F.col("y") + F.lag("y", 1, 1.0).over(step)) / 2
-    return c.withColumn("a", area).groupBy("model").agg(F.round(F.sum("a"), 6).alias("pr_auc"))
+    return areas(points(df)).select("model", "pr_auc")
 
 
 def log_loss(df: DataFrame, floor: float = 1e-7) -> DataFrame:
@@ -98,8 +119,13 @@ def log_loss(df: DataFrame, floor: float = 1e-7) -> DataFrame:
 
 
 def comparison(df: DataFrame) -> DataFrame:
-    """``model, metric, value``: five metrics of each model, long."""
-    wide = precision_recall_f1(df).drop("accuracy").join(roc_auc(df), "model").join(pr_auc(df), "model")
+    """``model, metric, value``: five metrics of each model, long; the predictions are read once."""
+    made = points(df)
+    one, none = F.col("yhat") == 1, F.col("yhat") == 0
+    cells = made.filter("yhat is not null").groupBy("model").agg(
+        F.sum(F.when(one, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(one, F.col("n")).otherwise(0)).alias("fp"), F.sum(F.when(none, F.col("p")).otherwise(0)).alias("fn"), F.sum(F.when(none, F.col("n")).otherwise(0)).alias("tn")
+    )
+    wide = _ratios(cells).drop("accuracy").join(areas(made), "model")
     return wide.unpivot("model", ["precision", "recall", "f1", "roc_auc", "pr_auc"], "metric", "value")
 
 

@@ -5,19 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from promptloom.functions import arrays, hashing, text
-from promptloom.operators import classifier, corpus, flatten, metrics, position, refusal, split, trainlog
-from promptloom.storage import table
+from promptloom.operators import classifier, corpus, flatten, metrics, position, refusal, split, tokenbatch, trainlog
+from promptloom.sources import readers
+from promptloom.storage import delete_at_exit, new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 CORPUS, CHAT, REFUSALS = "bangla_safety_prompt_dataset", "chat_batch_items", "bangla_refusal_dataset"
-#: Prompts that one nested list holds at most.
-NEST = 1000
+#: Consecutive ids whose prompts form one block of a nested list; results do not depend on it.
+BLOCK = 1000
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -115,30 +117,29 @@ def q_seq_id(spark, d):
 
 
 def _nested(spark: SparkSession, d: str) -> DataFrame:
-    """Categories nested as the reference's input has them, in blocks: a list holds at most NEST prompts."""
+    """Categories nested as the reference's input has them. A list comes in blocks, so that none is built in one place;
+    ``before`` is the number of its prompts in the blocks before."""
     rows = table(spark, d, "catqa_prompts").select(F.col("id").cast("bigint").alias("i"), "prompt", F.coalesce("category", F.lit("")).alias("c"), F.coalesce("sub_category", F.lit("")).alias("s"))
-    rows = rows.filter(F.col("prompt").isNotNull()).withColumn("block", F.floor(F.col("i") / NEST))
+    rows = rows.filter(F.col("prompt").isNotNull()).withColumn("block", F.floor(F.col("i") / BLOCK))
+    sizes = rows.groupBy("c", "s", "block").agg(F.count(F.lit(1)).alias("size"))
+    before = F.coalesce(F.sum("size").over(W.partitionBy("c", "s").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     lists = rows.groupBy("c", "s", "block").agg(F.array_sort(F.collect_list(F.struct("i", "prompt"))).alias("l"))
-    return lists.select("block", F.create_map("c", F.create_map("s", F.col("l.prompt"))).alias("nested"), F.col("c").alias("key1"), F.col("s").alias("key2"))
+    lists = lists.join(sizes.select("c", "s", "block", before.alias("before")), ["c", "s", "block"])
+    return lists.select("before", F.create_map("c", F.create_map("s", F.col("l.prompt"))).alias("nested"), F.col("c").alias("key1"), F.col("s").alias("key2"))
 
 
-@query(
-    "q_flatten",
-    f"""SELECT row_number() OVER (PARTITION BY c, s, b ORDER BY i) - 1 AS p3, b AS block, prompt, c AS category, s AS sub_category FROM (
-SELECT CAST(id AS BIGINT) AS i, CAST(id AS BIGINT) // {NEST} AS b, prompt, coalesce(category, '') AS c, coalesce(sub_category, '') AS s FROM catqa_prompts WHERE prompt IS NOT NULL)""",
-)
+_FLAT = "SELECT CAST(id AS BIGINT) AS i, prompt, coalesce(category, '') AS c, coalesce(sub_category, '') AS s FROM catqa_prompts WHERE prompt IS NOT NULL"
+
+
+@query("q_flatten", f"SELECT row_number() OVER (PARTITION BY c, s ORDER BY i) - 1 AS p3, prompt, c AS category, s AS sub_category FROM ({_FLAT})")
 def q_flatten(spark, d):
-    return flatten.nested_map(_nested(spark, d), "nested", ("block",)).select(F.col("p3").cast("bigint").alias("p3"), "block", "prompt", "category", "sub_category")
+    return flatten.nested_map(_nested(spark, d), "nested", offset="before").select("p3", "prompt", "category", "sub_category")
 
 
-@query(
-    "q_flatten_ids",
-    f"""SELECT CAST(row_number() OVER (ORDER BY c, s, b, i) AS VARCHAR) AS id, prompt, c AS category, s AS sub_category FROM (
-SELECT CAST(id AS BIGINT) AS i, CAST(id AS BIGINT) // {NEST} AS b, prompt, coalesce(category, '') AS c, coalesce(sub_category, '') AS s FROM catqa_prompts WHERE prompt IS NOT NULL)""",
-)
+@query("q_flatten_ids", f"SELECT CAST(row_number() OVER (ORDER BY c, s, i) AS VARCHAR) AS id, prompt, c AS category, s AS sub_category FROM ({_FLAT})")
 def q_flatten_ids(spark, d):
-    flat = flatten.nested_map(_nested(spark, d), "nested", ("block", "key1", "key2"))
-    numbered = position.with_position(flat, ["key1", "key2", "block", "p1", "p2", "p3"], "n", start=1)
+    flat = flatten.nested_map(_nested(spark, d), "nested", ("key1", "key2"), offset="before")
+    numbered = position.with_position(flat, ["key1", "key2", "p3"], "n", start=1)
     return numbered.select(F.col("n").cast("string").alias("id"), "prompt", "category", "sub_category")
 
 
@@ -258,9 +259,13 @@ def q_split_hash(spark, d):
     return _split(spark, d).select("record_id", "fold")
 
 
-@query("q_split_exact")
+@query(
+    "q_split_exact",
+    f"""SELECT record_id, CASE WHEN row_number() OVER (ORDER BY substr(md5('42:' || CAST(record_id AS VARCHAR)), 1, 12), record_id) <= ceil(0.2 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS fold
+FROM ({_ENCODED}) WHERE text IS NOT NULL AND label IS NOT NULL""",
+)
 def q_split_exact(spark, d):
-    return split.exact_split(split.training_frame(table(spark, d, CORPUS), ("record_id",)), ["record_id"]).select("record_id", "fold")
+    return split.exact_split(split.training_frame(table(spark, d, CORPUS), ("record_id",)), "record_id").select("record_id", "fold")
 
 
 @query(
@@ -413,6 +418,26 @@ def q_pad(spark, d):
     return rows.select("doc_id", arrays.fit_length(F.col("ids"), 512, -1).alias("ids"), arrays.attention_mask(F.col("ids"), 512).alias("attention_mask"))
 
 
+_BATCHES = f"""SELECT doc_id, b AS batch, ids, max(len(ids)) OVER (PARTITION BY b) AS longest FROM (
+SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS b, coalesce(ids[1:512], []) AS ids FROM ({_IDS}))"""
+
+
+@query(
+    "q_pad_batches",
+    f"""SELECT doc_id, batch, list_concat(ids, list_transform(range(0, CAST(longest - len(ids) AS BIGINT)), lambda x: 0)) AS ids,
+list_concat(list_transform(ids, lambda x: 1), list_transform(range(0, CAST(longest - len(ids) AS BIGINT)), lambda x: 0)) AS attention_mask FROM ({_BATCHES})""",
+)
+def q_pad_batches(spark, d):
+    n = F.length("text") % 700
+    ids = F.when(n > 0, F.sequence(F.lit(0), n - 1)).when(n == 0, F.array().cast("array<int>"))
+    return tokenbatch.padded_batches(table(spark, d, "documents").select("doc_id", ids.alias("ids")), ["doc_id"], "ids")
+
+
+@query("q_upper", "SELECT DISTINCT model, upper(replace(model, '_', ' ')) AS title FROM model_predictions")
+def q_upper(spark, d):
+    return table(spark, d, "model_predictions").select("model", F.upper(F.replace("model", F.lit("_"), F.lit(" "))).alias("title")).distinct()
+
+
 @query("q_json_field", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def q_json_field(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
@@ -438,3 +463,16 @@ def q_classifier(spark, d):
     rows = _split(spark, d)
     model = classifier.train(rows.filter("fold = 'train'").select("text", "label"))
     return classifier.predict(model, rows.filter("fold = 'test'").select("record_id", "text", "label"), "hashed_words", ("record_id",))
+
+
+@query("q_model_lifecycle")
+def q_model_lifecycle(spark, d):
+    """Two models trained on the training fold in epochs and saved; both scored by name on the test fold, and compared."""
+    rows = _split(spark, d).persist()
+    folder = new_path(spark, "models")
+    for name, features in (("words_1k", 1024), ("words_4k", 4096)):
+        classifier.train_epochs(rows.filter("fold = 'train'"), rows.filter("fold = 'test'"), folder, name, epochs=2, features=features)
+    delete_at_exit(spark, folder)
+    rows.unpersist()
+    scored, _ = classifier.evaluate_all(readers.trained_models(spark, folder), folder, rows.filter("fold = 'test'"))
+    return metrics.comparison(scored)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptloom.functions.text import default
+from promptloom.operators import corpus as built
 from promptloom.operators import flatten, trainlog
 
 _BAD = "_corrupt_record"
@@ -32,17 +33,45 @@ def nested_categories(spark: SparkSession, path: str) -> DataFrame:
     return flatten.nested_map(flatten.from_json_text(whole, "value"), "value")
 
 
-def chat_batches(spark: SparkSession, pattern: str) -> DataFrame:
+def chat_batches(spark: SparkSession, pattern: str, ordered: bool = False) -> DataFrame:
     """``batch_file, pos, prompt_bn, prompt_safety`` of the conversations in batch files, which sort by name as text (10 before 2).
 
-    A file that is not a JSON object with conversations is skipped. No file at all gives no rows.
+    A file that is not a JSON object with conversations is skipped; ``bad_batches`` names it. No file at all gives no rows.
+    ``ordered``: rows come in the order of file name and place.
     """
     if not exists(spark, pattern):
         return spark.createDataFrame([], "batch_file string, pos int, prompt_bn string, prompt_safety string")
+    rows = _batches(spark, pattern).filter(_GOOD)
+    rows = rows.select("batch_file", F.posexplode("conversations").alias("pos", "c")).select("batch_file", "pos", "c.prompt_bn", "c.prompt_safety")
+    return rows.orderBy(F.element_at(F.split("batch_file", "/"), -1), "batch_file", "pos") if ordered else rows
+
+
+_GOOD = f"{_BAD} is null and conversations is not null"
+
+
+def _batches(spark: SparkSession, pattern: str) -> DataFrame:
     # multiLine reads a whole file as one record, so a broken file is one corrupt record
     rows = spark.read.schema(_CHAT).option("multiLine", True).option("columnNameOfCorruptRecord", _BAD).json(pattern)
-    rows = rows.select(F.col("_metadata.file_path").alias("batch_file"), "conversations", _BAD).filter(F.col(_BAD).isNull() & F.col("conversations").isNotNull())
-    return rows.select("batch_file", F.posexplode("conversations").alias("pos", "c")).select("batch_file", "pos", "c.prompt_bn", "c.prompt_safety")
+    return rows.select(F.col("_metadata.file_path").alias("batch_file"), "conversations", _BAD)
+
+
+def bad_batches(spark: SparkSession, pattern: str) -> DataFrame:
+    """``batch_file, message`` of the files that ``chat_batches`` skips, one row each."""
+    if not exists(spark, pattern):
+        return spark.createDataFrame([], "batch_file string, message string")
+    rows = _batches(spark, pattern).filter(f"not ({_GOOD})").groupBy("batch_file").agg(F.count_if(F.col(_BAD).isNotNull()).alias("broken"))
+    return rows.select("batch_file", F.when(F.col("broken") > 0, "no valid JSON object").otherwise("no conversations").alias("message"))
+
+
+def corpus(spark: SparkSession, batches: str, multijail: str, catqa: str) -> DataFrame | None:
+    """The labelled corpus of all files; ``None`` if no batch file is there, whatever the other lists hold. A missing list adds nothing."""
+    if not exists(spark, batches):
+        return None
+    chat = chat_batches(spark, batches).withColumn("batch_file", F.element_at(F.split("batch_file", "/"), -1))
+    lists = []
+    for number, (path, source) in enumerate(((multijail, "multijail"), (catqa, "catqa")), 1):
+        lists.append(built.listed_prompts(prompt_list(spark, path), number, source))
+    return built.combined(built.chat_prompts(chat), *lists)
 
 
 def prompt_list(spark: SparkSession, path: str) -> DataFrame:

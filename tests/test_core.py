@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from promptloom.functions import arrays, hashing, text
-from promptloom.operators import attach, corpus, flatten, metrics, position, refusal, split, trainlog
+from promptloom.operators import attach, corpus, flatten, lowest, metrics, position, refusal, split, tokenbatch, trainlog
 from promptloom.sources import readers, sinks
 
 
@@ -52,6 +52,8 @@ def test_positions_are_dense(spark):
 
 def test_flatten(spark):
     nested = json.dumps({"b": {"y": ["p", "p"], "x": []}, "a": {"z": ["q"]}})
+    blocks = spark.createDataFrame([({"a": {"z": ["p", "q"]}}, 0), ({"a": {"z": ["r"]}}, 2)], "v map<string,map<string,array<string>>>, before int")
+    assert sorted((r.p3, r.prompt) for r in flatten.nested_map(blocks, "v", offset="before").collect()) == [(0, "p"), (1, "q"), (2, "r")]
     got = rows(flatten.nested_map(flatten.from_json_text(spark.createDataFrame([(nested,)], "v string"), "v"), "v"))
     assert got == [(0, 0, 0, "p", "b", "y"), (0, 0, 1, "p", "b", "y"), (1, 0, 0, "q", "a", "z")]
 
@@ -78,8 +80,9 @@ def test_refusals(spark):
 
 def test_splits(spark):
     df = spark.range(0, 1001).select("id", F.lit("p").alias("prompt"), F.lit("safe").alias("label"))
-    exact = split.exact_split(df, ["id"])
+    exact = split.exact_split(df, "id")
     assert exact.filter("fold = 'test'").count() == math.ceil(0.2 * 1001) and exact.count() == 1001
+    assert split.exact_split(df.limit(0), "id").count() == 0
     a, b = (split.hash_split(df.repartition(n), "id").filter("fold = 'test'").select("id") for n in (2, 5))
     assert a.exceptAll(b).count() == 0 and 120 < a.count() < 280
     assert rows(split.leakage(split.hash_split(df, "id"), "prompt", "fold")) == [(a.count(), a.count())]
@@ -138,6 +141,39 @@ def test_attach_hot_and_cold_groups(spark):
         assert sorted((r.id, r.keep) for r in attach.attach(df, groups, ["k"], ["c"], ["keep"], hot_rows=hot).collect()) == want
 
 
+def test_attach_with_several_groups_of_a_key(spark):
+    df = spark.createDataFrame([(i, "hot" if i < 60 else "cold") for i in range(70)], "id long, k string")
+    groups = spark.createDataFrame([("hot", "a", 60), ("hot", "b", 60), ("cold", "c", 10), ("gone", "d", 5)], "k string, v string, n long")
+    for hot in (7, 1000):
+        got = attach.attach(df, groups, ["k"], [], ["v"], hot_rows=hot, spread=["id"]).collect()
+        assert sorted((r.id, r.v) for r in got) == sorted([(i, v) for i in range(60) for v in "ab"] + [(i, "c") for i in range(60, 70)])
+    assert attach.attach(df, groups.limit(0), ["k"], [], ["v"]).count() == 0
+
+
+def test_lowest_rows(spark, monkeypatch):
+    monkeypatch.setattr(lowest, "SMALL", 3)
+    random.seed(1)
+    data = [(i, i % 3, random.choice([random.randrange(1 << 48), 5, 6, (1 << 48) - 1])) for i in range(600)]
+    df = spark.createDataFrame(data, "id long, g int, priority long")
+    wanted = {0: 77, 1: 200, 2: 0, 7: 4}
+    inside, outside = lowest.split_lowest(df, wanted, ["id"])
+    want = {i for g, n in wanted.items() for _, i in sorted((p, i) for i, h, p in data if h == g)[:n]}
+    assert {r.id for r in inside.collect()} == want and {r.id for r in outside.collect()} == set(range(600)) - want
+
+
+def test_running_sums(spark):
+    df = spark.range(0, 3000).select((F.col("id") * 7 % 3000).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id") % 4).alias("v")).repartition(5)
+    got = sorted((r.k, r.s, r.p, r.v) for r in position.with_running(df, [F.col("k").desc()], {"s": F.col("v")}, "p").collect())[::-1]
+    assert [r[2] for r in got] == list(range(3000)) and [r[1] for r in got] == np.cumsum([r[3] or 0 for r in got]).tolist()
+    assert position.with_running(df.limit(0), [F.col("k")], {"s": F.col("v")}).count() == 0
+
+
+def test_batches_are_padded_to_their_longest(spark):
+    df = spark.createDataFrame([(i, None if i == 2 else [i] * (i + 1)) for i in range(6)], "k int, a array<int>")
+    got = {r.k: (r.batch, r.ids, r.attention_mask) for r in tokenbatch.padded_batches(df, ["k"], "a", 4, 5, -1).collect()}
+    assert got[2] == (0, [-1] * 4, [0] * 4) and got[3] == (0, [3] * 4, [1] * 4) and got[0][1] == [0, -1, -1, -1] and got[5] == (1, [5] * 5, [1] * 5)
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "p.csv").write_text('text,x\n"a\nb",1\n"say ""hi""",2\n,3\n', encoding="utf-8")
     assert [r.text for r in readers.prompt_csv(spark, str(tmp_path / "p.csv")).collect()] == ["a\nb", 'say "hi"', ""]
@@ -175,9 +211,31 @@ def test_sinks(spark, tmp_path):
         sinks.json_array(df, str(tmp_path / "y.json"), ["i"], most=1)
     assert sinks.statistics_json(df.agg(F.count(F.lit(1)).alias("n")), str(tmp_path / "o.json"), {"a": 1}).endswith("o_statistics.json")
     assert json.loads((tmp_path / "o_statistics.json").read_text()) == {"n": 2, "metadata": {"a": 1}}
-    sinks.append_log(spark, str(tmp_path / "log"), 1, 0.5, None)
-    sinks.append_log(spark, str(tmp_path / "log"), 2, 0.4, 0.3)
-    assert spark.read.json(str(tmp_path / "log")).count() == 2
+    assert sinks.statistics_json(df.limit(0), str(tmp_path / "a.json_dir/o.json"), {}).endswith("a.json_dir/o_statistics.json")
+    sinks.append_log(str(tmp_path / "log"), 1, 0.5, None)
+    sinks.append_log(str(tmp_path / "log"), 2, 0.4, 0.3, {"f1": 0.5})
+    assert rows(readers.training_log(spark, str(tmp_path / "log"))) == [(1, 0.5, None), (2, 0.4, 0.3)]
+    scores = spark.createDataFrame([("m", 1, 0.9, 1), ("m", 0, 0.2, 0), ("m", 1, 0.4, 0)], "model string, y int, score double, yhat int")
+    assert sinks.metrics_report(scores, str(tmp_path / "reports")) == ["m"]
+    report = json.loads((tmp_path / "reports/m/metrics_report.json").read_text())
+    assert report["confusion_matrix"] == [[1, 0], [1, 1]] and report["metrics"]["precision"] == 1.0 and report["classification_report"]["safe"]["support"] == 1
+    assert "ROC AUC: 1.0000" in (tmp_path / "reports/m/metrics_report.txt").read_text()
+
+
+def test_no_batch_files_no_corpus(spark, tmp_path):
+    (tmp_path / "list.json").write_text('[{"id": "1", "prompt": "p"}]', encoding="utf-8")
+    paths = (str(tmp_path / "batch_*.json"), str(tmp_path / "list.json"), str(tmp_path / "missing.json"))
+    assert readers.corpus(spark, *paths) is None
+    assert sinks.corpus_files(None, str(tmp_path / "out/c.json")) == {} and not (tmp_path / "out").exists()
+    (tmp_path / "batch_2.json").write_text('{"conversations": [{"prompt_bn": "b", "prompt_safety": "S1"}]}', encoding="utf-8")
+    (tmp_path / "batch_10.json").write_text('{"conversations": [{"prompt_bn": "a", "prompt_safety": "safe"}]}', encoding="utf-8")
+    built = readers.corpus(spark, *paths)
+    assert sinks.corpus_files(built, str(tmp_path / "out/c.json"), corpus.statistics(built), {"v": 1})["total_prompts"] == 3
+    assert [r["prompt"] for r in json.loads((tmp_path / "out/c.json").read_text())] == ["a", "b", "p"] and (tmp_path / "out/c_statistics.json").exists()
+    (tmp_path / "batch_3.json").write_text("[1", encoding="utf-8")
+    (tmp_path / "batch_4.json").write_text("{}", encoding="utf-8")
+    assert sorted((r.batch_file[-7:-5], r.message) for r in readers.bad_batches(spark, paths[0]).collect()) == [("_3", "no valid JSON object"), ("_4", "no conversations")]
+    assert [r.prompt_bn for r in readers.chat_batches(spark, paths[0], ordered=True).collect()] == ["a", "b"]
 
 
 def test_stream(spark, tmp_path):
@@ -196,3 +254,21 @@ def test_classifier_learns(spark):
     df = spark.createDataFrame([(f"good day {i}", 0) if i % 2 else (f"bad night {i}", 1) for i in range(60)], "text string, label int")
     got = classifier.predict(classifier.train(df, 256, 5), df, "m")
     assert metrics.precision_recall_f1(got).first().f1 == 1.0
+
+
+def test_model_life_cycle(spark, tmp_path):
+    from promptloom.operators import classifier
+
+    df = spark.createDataFrame([(f"good day {i}", 0) if i % 2 else (f"bad night {i}", 1) for i in range(60)], "text string, label int")
+    folder, log = str(tmp_path / "results"), str(tmp_path / "results/a_training_log.txt")
+    args = (df, df, folder, "a")
+    classifier.train_epochs(*args, epochs=1, features=64, log=lambda *e: sinks.append_log(log, *e))
+    classifier.train_epochs(*args, epochs=3, features=64, log=lambda *e: sinks.append_log(log, *e))  # goes on with epoch 2
+    losses = readers.training_log(spark, log).orderBy("epoch").collect()
+    assert [r.epoch for r in losses] == [1, 2, 3] and losses[2].train_loss < losses[0].train_loss and losses[2].eval_loss is not None
+    (tmp_path / "results/broken/final_model").mkdir(parents=True)
+    names = readers.trained_models(spark, folder)
+    scored, failed = classifier.evaluate_all(names, folder, df)
+    assert names == ["a", "broken"] and list(failed) == ["broken"] and failed["broken"]
+    assert {r.model for r in scored.collect()} == {"a"} and metrics.comparison(scored).count() == 5
+    assert classifier.evaluate_all([], folder, df)[0].count() == 0
