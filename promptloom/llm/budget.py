@@ -36,6 +36,7 @@ def budget(df: DataFrame, text: str, slices: dict[str, Column], tokenizer: str =
     rows = df.select(*(F.coalesce(c.cast("string"), F.lit("unknown")).alias(n) for n, c in slices.items()), df[text].alias("_text"))
     rows = rows.withColumn("_tokens", token_count(F.col("_text"), tokenizer, folder))
     cells = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n_rows"), F.count("_text").alias("n_texts"), F.sum("_tokens").alias("n_tokens"))
-    sets = F.array(F.array(*(F.col(n) for n in names)), *(F.array(*(F.col(m) if m == n else F.lit("(all)") for m in names)) for n in names), F.array(*(F.lit("(all)") for _ in names)))
+    kept = dict.fromkeys([tuple(names), *((n,) for n in names), ()])  # of a single slice the combination and the value are the same
+    sets = F.array(*(F.array(*(F.col(m) if m in some else F.lit("(all)") for m in names)) for some in kept))
     spread = cells.select(F.explode(sets).alias("k"), "n_rows", "n_texts", "n_tokens")
     return spread.groupBy(*(F.col("k")[i].alias(n) for i, n in enumerate(names))).agg(*(F.sum(c).alias(c) for c in ("n_rows", "n_texts", "n_tokens")))

@@ -24,6 +24,11 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     return copies.copy_counts(table(spark, d, CORPUS), "record_id", "prompt", "source")
 
 
+def p1_plain_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of the prompts that are no JSON objects."""
+    return copies.copy_counts(table(spark, d, CORPUS).filter(~F.coalesce(F.col("prompt").rlike(r"\A\s*\{"), F.lit(False))), "record_id", "prompt", "source")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     prompts = visual.look_alike_pairs(table(spark, d, CORPUS), "record_id", "prompt")
     answers = visual.template_variants(table(spark, d, "bangla_refusal_dataset"), "row_id", "refusal_response", table(spark, d, "refusal_templates"), "template_index", "refusal_response")
@@ -31,9 +36,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:
-    prompts = table(spark, d, CORPUS).select(F.lit("prompt").alias("field_name"), F.col("record_id").alias("rec_id"), visual.visual_form_of("prompt").alias("form"))
-    answers = table(spark, d, "bangla_refusal_dataset").select(F.lit("refusal_response").alias("field_name"), F.col("row_id").alias("rec_id"), visual.visual_form_of("refusal_response").alias("form"))
-    return prompts.unionByName(answers)
+    """The form to compare by, and the text to keep."""
+
+    def both(name: str, key: str, text: str) -> DataFrame:
+        return table(spark, d, name).select(F.lit(text).alias("field_name"), F.col(key).alias("rec_id"), visual.visual_form_of(text).alias("form"), visual.clean_text_of(text).alias("text"))
+
+    return both(CORPUS, "record_id", "prompt").unionByName(both("bangla_refusal_dataset", "row_id", "refusal_response"))
 
 
 def p3_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -128,9 +136,23 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_counts, p2_found, p2_forms, p3_tokens, p4_sample, p4_report, p5_found, p5_report, p6_found, p6_segments, p7_mix, p7_report,
+        p1_found, p1_counts, p1_plain_counts, p2_found, p2_forms, p3_tokens, p4_sample, p4_report, p5_found, p5_report, p6_found, p6_segments, p7_mix, p7_report,
         p8_ids, p9_containers, p9_summary, p10_found, p10_restored,
     )
 }
 
-SQL: dict[str, str] = {}
+_BLANKS = core_text.BLANKS[1:-1]
+
+
+def _sql_folded(x: str) -> str:
+    return rf"regexp_replace(lower({x}), '[\p{{P}}{_BLANKS}]+', '', 'g')"
+
+
+def _sql_name(x: str) -> str:
+    return rf"nullif(regexp_replace(lower({x}), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g'), '')"
+
+
+SQL: dict[str, str] = {
+    "p1_plain_counts": rf"""SELECT min(record_id) AS keep_id, min(name) AS source, count(*) AS n_copies FROM (SELECT record_id, {_sql_folded("source")} AS s, {_sql_name("source")} AS name, {_sql_folded("prompt")} AS p
+FROM bangla_safety_prompt_dataset WHERE source IS NOT NULL AND prompt IS NOT NULL AND NOT regexp_full_match(prompt, '[{_BLANKS}]*') AND NOT regexp_matches(prompt, '^\s*\{{')) GROUP BY s, p""",
+}

@@ -8,23 +8,32 @@ canonical order and composed, all with array operations over the whole batch.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptloom.functions import text as core_text
 from promptloom.llm import arrowtext as at
+from promptloom.llm import sketch
+from promptloom.operators.attach import attach
+from promptloom.storage import written
 
-# Letters of other scripts that are drawn like a Latin letter, and that letter.
+# Letters that are drawn like a plain Latin letter, and that letter.
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "З": "3", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X",
-    "а": "a", "е": "e", "һ": "h", "і": "i", "ј": "j", "ԛ": "q", "о": "o", "р": "p", "с": "c", "ѕ": "s", "у": "y", "х": "x", "ѵ": "v", "ԝ": "w", "ԁ": "d",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ο": "o", "ν": "v", "ρ": "p", "ɑ": "a", "ɡ": "g", "ı": "i", "ℓ": "l",
+    "Ү": "Y", "Ѵ": "V", "Ӏ": "I", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W",
+    "а": "a", "е": "e", "һ": "h", "і": "i", "ј": "j", "ԛ": "q", "о": "o", "р": "p", "с": "c", "ѕ": "s", "у": "y", "х": "x", "ѵ": "v", "ԝ": "w", "ԁ": "d", "ү": "y", "ӏ": "l",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
+    "α": "a", "γ": "y", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "υ": "u", "ϲ": "c", "ϳ": "j",
+    "Լ": "L", "Ս": "U", "Տ": "S", "Օ": "O", "զ": "q", "հ": "h", "յ": "j", "ո": "n", "ս": "u", "ց": "g", "օ": "o",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭹ": "y", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮞ": "4", "Ꮟ": "b", "Ꮢ": "R",
+    "Ꮤ": "W", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "ɑ": "a", "ɡ": "g", "ɩ": "i", "ɪ": "i", "ı": "i", "ƅ": "b", "ǀ": "l", "ℓ": "l", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s",
+    "Ⅰ": "I", "Ⅴ": "V", "Ⅹ": "X", "Ⅼ": "L", "Ⅽ": "C", "Ⅾ": "D", "Ⅿ": "M", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅼ": "l", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m",
 }
 # Arabic letters that are drawn like a letter of Urdu.
 ARABIC_ALIKES = {"ي": "ی", "ى": "ی", "ك": "ک"}
@@ -35,7 +44,17 @@ VOWEL_SEQUENCES = {
 }
 _SAME_LOOK = {"<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>"}
 _INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
-_ALIKE = {ord(a): ord(b) for a, b in (LOOK_ALIKES | ARABIC_ALIKES).items()}
+_ALIKE = {ord(a): ord(b) for a, b in ARABIC_ALIKES.items()}
+#: Kinds of signs within words: Latin letters, look-alikes of one, other letters, marks.
+_LATIN, _FOREIGN, _OTHER, _MARK = 1, 2, 3, 4
+
+
+def _kind(cp: int) -> int:
+    ch = chr(cp)
+    if ch in LOOK_ALIKES:
+        return _FOREIGN
+    group = unicodedata.category(ch)[0]
+    return _MARK if group == "M" else 0 if group != "L" else _LATIN if unicodedata.name(ch, "").startswith("LATIN") else _OTHER
 
 
 def _expansion(cp: int) -> list[int]:
@@ -63,9 +82,9 @@ class _Tables:
         self.mark = np.zeros(at.MAX_CP, np.uint8)
         self.pool = np.zeros(0, np.uint32)
         pairs: dict[tuple[int, int], int] = {}
+        for k in range(11_172):  # syllables of Hangul: two letters, or a syllable of two and a last letter
+            pairs[(0x1100 + k // 588, 0x1161 + k % 588 // 28) if k % 28 == 0 else (0xAC00 + k - k % 28, 0x11A7 + k % 28)] = 0xAC00 + k
         for cp in range(0xC0, 0x30000):
-            if 0xAC00 <= cp < 0xD7A4:
-                continue  # syllables of Hangul stay as they are written
             parts = unicodedata.decomposition(chr(cp)).split()
             if len(parts) == 2 and parts[0][0] != "<":
                 a, b = (int(x, 16) for x in parts)
@@ -77,6 +96,10 @@ class _Tables:
         self.pair_keys, self.pair_made = keys[order], np.array(list(pairs.values()), np.uint32)[order]
         self.second = np.zeros(at.MAX_CP, bool)
         self.second[[b for _, b in pairs]] = True
+        self.alike = np.arange(at.MAX_CP, dtype=np.uint32)
+        for a, b in LOOK_ALIKES.items():
+            self.alike[ord(a)] = ord(b)
+        self.kind = np.zeros(at.MAX_CP, np.uint8)
 
     def learn(self, cps: np.ndarray) -> None:
         seen = np.zeros(at.MAX_CP, bool)
@@ -84,22 +107,27 @@ class _Tables:
         new = np.flatnonzero(seen & ~self.known)
         if not len(new):
             return
-        parts = [_expansion(cp) if not 0xAC00 <= cp < 0xD7A4 else [cp] for cp in new.tolist()]
+        parts = [_expansion(cp) for cp in new.tolist()]
         self.size[new] = [len(p) for p in parts]
         self.first[new] = len(self.pool) + at.offsets(self.size[new].astype(np.int64))[:-1]
         self.pool = np.concatenate([self.pool, np.array([x for p in parts for x in p], np.uint32)])
         made = {x for p in parts for x in p}
         for cp in made:
             self.mark[cp] = unicodedata.combining(chr(cp))
+            self.kind[cp] = _kind(cp)
         self.known[new] = True
 
 
 _tables: _Tables | None = None
 
 
-def visual_form(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def visual_form(cps: np.ndarray, offs: np.ndarray, key: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The consistent form of every row: look-alikes replaced, invisible signs gone, marks ordered and composed,
-    any run of blanks one space, none at the ends. Letter case and punctuation stay."""
+    any run of blanks one space, none at the ends. Letter case and punctuation stay.
+
+    As a ``key`` every look-alike is replaced, so that equal looks are equal texts. Otherwise only those in words with
+    a Latin letter, or with nothing but look-alikes: words of another script stay as they are.
+    """
     global _tables
     if _tables is None:
         _tables = _Tables()
@@ -108,6 +136,7 @@ def visual_form(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     sizes = t.size[cps].astype(np.int64)
     out = t.pool[at.ragged_index(t.first[cps].astype(np.int64), sizes)]
     offs = at.offsets(sizes)[offs]
+    out = t.alike[out] if key else np.where(_borrowed(out, offs, t), t.alike[out], out)
     out = _ordered(out, offs, t)
     out, offs = _composed(out, offs, t)
     return _single_blanks(out, offs)
@@ -119,6 +148,16 @@ def _row_starts(n: int, offs: np.ndarray) -> np.ndarray:
     return start[:n]
 
 
+def _borrowed(cps: np.ndarray, offs: np.ndarray, t: _Tables) -> np.ndarray:
+    """Which look-alikes stand in for a Latin letter, by the other letters of their words."""
+    kind = t.kind[cps]
+    edge = (kind == 0) | _row_starts(len(cps), offs)
+    word = np.cumsum(edge)
+    count = int(word[-1]) + 1 if len(word) else 1
+    latin, other = (np.bincount(word[kind == k], minlength=count) > 0 for k in (_LATIN, _OTHER))
+    return (kind == _FOREIGN) & (latin | ~other)[word]
+
+
 def _ordered(cps: np.ndarray, offs: np.ndarray, t: _Tables) -> np.ndarray:
     mark = t.mark[cps]
     wrong = (mark[:-1] > mark[1:]) & (mark[1:] > 0)
@@ -175,20 +214,26 @@ def _single_blanks(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     return cps[keep], np.concatenate([[0], np.cumsum(keep)])[offs]
 
 
-def _form_array(arr: pa.Array) -> pa.Array:
+def _form_array(arr: pa.Array, key: bool = True) -> pa.Array:
     parts = []
     for a, b in at.slices(arr):
         part = arr.slice(a, b - a)
-        parts.append(at.from_codepoints(*visual_form(*at.to_codepoints(part)), np.asarray(part.is_valid())))
+        parts.append(at.from_codepoints(*visual_form(*at.to_codepoints(part), key), np.asarray(part.is_valid())))
     return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 @F.arrow_udf(T.StringType())
 def visual_form_of(text: pa.Array) -> pa.Array:
-    """The consistent form of a text column; null for null, empty for empty."""
+    """The consistent form of a text column, for comparisons; null for null, empty for empty."""
     return _form_array(text)
 
 
+@F.arrow_udf(T.StringType())
+def clean_text_of(text: pa.Array) -> pa.Array:
+    """A text column's consistent form to keep: words of other scripts stay; null for null, empty for empty."""
+    return _form_array(text, key=False)
+
+
 def plain_form(text: Column) -> Column:
     """A text without what is no difference in characters: blanks around it, and how many plain blanks stand between words."""
     return F.regexp_replace(core_text.strip(text), "[ \\t\\r\\n]+", " ")
@@ -215,16 +260,16 @@ def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _pairs_of_spellings(rows: DataFrame) -> DataFrame:
-    from promptloom.storage import written
-
     rows = written(rows, "forms")
     spellings = rows.groupBy("f1", "f2", "s").agg(F.count(F.lit(1)).alias("n"))
-    several = rows.groupBy("f1", "f2").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo < hi").select("f1", "f2")
-    own = written(spellings.join(several, ["f1", "f2"], "left_semi").select("f1", "f2", "s"), "spellings")
-    pairs = own.withColumnRenamed("s", "s1").join(own.withColumnRenamed("s", "s2"), ["f1", "f2"]).filter("s1 < s2")
-    left = rows.select("f1", "f2", F.col("s").alias("s1"), F.col("id").alias("x"))
-    right = rows.select("f1", "f2", F.col("s").alias("s2"), F.col("id").alias("y"))
-    found = pairs.join(left, ["f1", "f2", "s1"]).join(right, ["f1", "f2", "s2"])
+    form = W.partitionBy("f1", "f2")
+    own = spellings.withColumns({"lo": F.min("s").over(form), "hi": F.max("s").over(form)}).filter("lo < hi").select("f1", "f2", "s", "n")
+    own = written(own, "spellings")
+    left, right = (own.select("f1", "f2", F.col("s").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2))
+    pairs = written(left.join(right, ["f1", "f2"]).filter("s1 < s2"), "spelling-pairs")
+    some = sketch.likely(rows, own, "f1")
+    first = attach(some.select("f1", "f2", F.col("s").alias("s1"), F.col("id").alias("x")), pairs, ["f1", "f2", "s1"], [], ["s2", "n2"], "n1", spread=["x"])
+    found = attach(some.select("f1", "f2", F.col("s").alias("s2"), F.col("id").alias("y")), first, ["f1", "f2", "s2"], [], ["x"], "n2", spread=["y"], sizes=pairs)
     return found.select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"))
 
 

@@ -59,6 +59,11 @@ def test_composition_is_nfc(text):
 def test_look_alikes_become_one():
     assert forms(["prоfіlе", "ｐｒｏｆｉｌｅ", "pro​fi­le", "profile"]) == ["profile"] * 4
     assert forms(["অামি", "আমি", "a b", "a  b ", "３６４", "كيا", None, "", "​"]) == ["আমি", "আমি", "a b", "a b", "364", "کیا", None, "", ""]
+    assert forms(["pαypal", "ριzza", "аррӏе", "օk", "Ꮯat", "ⅼist"]) == ["paypal", "pizza", "apple", "ok", "Cat", "list"]
+    assert forms([unicodedata.normalize("NFD", "한국어 말"), "한국어 말", "한국어"]) == ["한국어 말", "한국어 말", "한국어"]
+    kept = visual._form_array(pa.array(["Сегодня хорошая", "pаypаl аррӏе", "Ceгодня", "αβγ", None, "", "দেওয়া", "x\u200b у"]), key=False).to_pylist()
+    assert kept == ["Сегодня хорошая", "paypal apple", "Ceгoдня", "αβγ", None, "", forms(["দেওয়া"])[0], "x y"]
+    assert forms(["Сегодня"]) == forms(["Ceгoдня"])
     assert forms(["Profile", "x²"]) == ["Profile", "x²"]
     many = forms(["á" * 500 + " " * 50, "b"])
     assert many == ["á" * 500, "b"]
@@ -142,4 +147,6 @@ def test_encode_and_budget_queries(spark):
     counts = trie.load("piece_bpe_32k").count(*at.to_codepoints(pa.array(ODD, pa.string())))
     assert (whole.n_rows, whole.n_texts, whole.n_tokens) == (len(ODD), len(ODD) - 1, int(counts.sum()))
     assert sum(r.n_tokens for r in out.filter("source <> '(all)' and lang <> '(all)'").collect()) == whole.n_tokens
+    one = {r.source: (r.n_rows, r.n_tokens) for r in budget.budget(df, "text", {"source": F.col("source")}).collect()}
+    assert one["(all)"] == (len(ODD), whole.n_tokens) and sum(n for k, (n, _) in one.items() if k != "(all)") == len(ODD) and set(one) == {"(all)", "S.", "unknown"}
     assert budget.budget(df.limit(0), "text", {"source": F.col("source")}).count() == 0
