@@ -246,7 +246,7 @@ def passages(df: DataFrame, key: str, text: str) -> DataFrame:
     met = met.filter("lo is not null or rest.hit").select("token", "n", F.expr("case when lo is null then rest.word when lo = hi then lo end").alias("word"))
     from promptloom.operators.attach import attach
 
-    return attach(tokens.select("doc", "start", "token"), written(met, "originals"), ["token"], [], ["word"])
+    return attach(tokens.select("doc", "start", "token"), written(met, "originals"), ["token"], [], ["word"], spread=["doc", "start"])
 
 
 def affected(df: DataFrame, key: str, text: str) -> DataFrame:
