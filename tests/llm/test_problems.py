@@ -42,6 +42,23 @@ def test_copies_of_a_hot_group(spark):
     assert got.filter("keep_id = 1").count() == 1999 and got.count() == 3000 - 51
 
 
+def test_numbers_in_objects_keep_their_value(spark):
+    texts = ['{"a": 1.5}', '{"a": 15}', '{"a": -3}', '{"a": 3}', '{"A" : 1.50}', '{"a": "3"}', '{"a": 3.0}', '{"a": 1e3}', '{"a": 1000}', '{"a": 1e999999999}', '{"a": true}', '{"a": "1.5"}']
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "record_id long, prompt string, source string")
+    got = sorted(tuple(r) for r in copies.copies(df, "record_id", "prompt", "source").collect())
+    assert got == [(0, 4), (1, 11), (3, 5), (3, 6), (7, 8)]
+    deep = '{"a":' * 5000 + "1" + "}" * 5000
+    assert copies.json_node(deep) is None
+
+
+def test_different_records_of_one_digest_stay_apart(spark, monkeypatch):
+    real = copies._records
+    monkeypatch.setattr(copies, "_records", lambda *a: real(*a).withColumns({"h1": F.lit(7).cast("long"), "h2": F.length("canon").cast("long")}))
+    df = spark.createDataFrame([(1, "ab", "s"), (2, "A b", "s"), (3, "cd", "s"), (4, "xyz", "s"), (5, "xyz", "s"), (6, "ef", "S")], "record_id long, prompt string, source string")
+    assert sorted(tuple(r) for r in copies.copies(df, "record_id", "prompt", "source").collect()) == [(1, 2), (4, 5)]
+    assert sorted((r.keep_id, r.n_copies) for r in copies.copy_counts(df, "record_id", "prompt", "source").collect()) == [(1, 2), (3, 1), (4, 2), (6, 1)]
+
+
 def words(s):
     return tuple("".join(" " if c.isspace() or unicodedata.category(c)[0] == "P" else c for c in s.lower()).split())
 
