@@ -73,7 +73,9 @@ def distance(a, b):
     return row[-1]
 
 
-def test_overlaps_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [2_000, 3])
+def test_overlaps_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(splits, "HOT_WINDOW", hot)
     random.seed(5)
     vocabulary = [f"w{k}" for k in range(12)]
     base = [[random.choice(vocabulary) for _ in range(random.randint(1, 40))] for _ in range(60)]
@@ -96,6 +98,32 @@ def test_overlaps_against_brute_force(spark):
     assert splits.overlaps(df.limit(0), "record_id", "prompt", "split").count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 6, 9, 10, 14, 15, 29, 30, 31, 44, 45, 101, 1000])
+def test_cuts_are_disjoint_and_cheap(n):
+    size = splits.window_of(n)
+    cost = np.random.default_rng(n).integers(0, 50, (20, n - size + 1)).astype(float)
+    start = splits.cuts(cost, n, size)
+    assert start.shape == (20, splits.pieces_of(n)) and (start[:, 0] >= 0).all() and (start[:, -1] + size <= n).all() and (np.diff(start, axis=1) >= size).all()
+    longest = max(m for m in range(n, 2 * n) if m - n <= m // 6)
+    assert splits.pieces_of(n) > longest // 6
+    if n == 10:
+        brute = [min(r[a] + r[b] + r[c] for a in range(8) for b in range(a + size, 8) for c in range(b + size, 8)) for r in cost]
+        assert np.allclose(np.take_along_axis(cost, start, axis=1).sum(axis=1), brute)
+
+
+def test_overlaps_of_very_long_texts(spark):
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(3000)}" for _ in range(30_000)]
+    near, far = list(long), list(long)
+    for k in range(0, 30_000, 7):
+        near[k] = "changed"
+    for k in range(0, 30_000, 5):
+        far[k] = "changed"
+    data = [(1, " ".join(long), "train"), (2, " ".join(near), "test"), (3, " ".join(far), "test"), (4, " ".join(long[3_000:]), "test"), (5, " ".join(long[6_000:]), "test")]
+    df = spark.createDataFrame(data, "record_id long, prompt string, split string")
+    assert sorted(tuple(r) for r in splits.overlaps(df, "record_id", "prompt", "split").collect()) == [(1, 2), (1, 4)]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_banded_distance(seed):
     rng = np.random.default_rng(seed)
