@@ -61,7 +61,7 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.report(_sample_plan(spark, d)[1])
+    return sampling.report(_sample_plan(spark, d)[1], spark)
 
 
 def _language_model(spark: SparkSession, d: str) -> language.Model:
@@ -85,18 +85,16 @@ def p6_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str) -> tuple:
-    args = (table(spark, d, CORPUS), "record_id", "prompt", "source")
-    fitted = mixing.fit(*args, table(spark, d, "mix_weights"), MIX_SHARE)
-    return args, fitted, mixing.mix(*args, fitted)
+    fitted = mixing.fit(table(spark, d, CORPUS), "record_id", "prompt", "source", table(spark, d, "mix_weights"), MIX_SHARE)
+    return fitted, mixing.mix(fitted)
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)[2].select(F.col("id").alias("record_id"), "source", "size", "n_uses")
+    return _mix(spark, d)[1].select(F.col("id").alias("record_id"), "source", "size", "n_uses")
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    args, fitted, mixed = _mix(spark, d)
-    return mixing.report(mixed, mixing.rows_of(*args), fitted)
+    return mixing.report(*_mix(spark, d))
 
 
 def _specs(spark: SparkSession, d: str) -> tuple[list[tuple[int, str, int]], DataFrame]:
@@ -121,6 +119,10 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return splits.report(table(spark, d, CORPUS), "record_id", "prompt", "split", "source", "label")
 
 
+def p5_rows(spark: SparkSession, d: str) -> DataFrame:
+    return splits.evaluation_rows(table(spark, d, CORPUS), "record_id", "prompt", "split", "source")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.affected(table(spark, d, "documents"), "doc_id", "text")
 
@@ -136,7 +138,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_counts, p1_plain_counts, p2_found, p2_forms, p3_tokens, p4_sample, p4_report, p5_found, p5_report, p6_found, p6_segments, p7_mix, p7_report,
+        p1_found, p1_counts, p1_plain_counts, p2_found, p2_forms, p3_tokens, p4_sample, p4_report, p5_found, p5_report, p5_rows, p6_found, p6_segments, p7_mix, p7_report,
         p8_ids, p9_containers, p9_summary, p10_found, p10_restored,
     )
 }
@@ -152,7 +154,31 @@ def _sql_name(x: str) -> str:
     return rf"nullif(regexp_replace(lower({x}), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g'), '')"
 
 
+def _sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{_BLANKS}]+|[{_BLANKS}]+$', '', 'g')"
+
+
+# the categories with what there is, their feasible quotas (as in sampling.quotas: the level at which all of them add up), and all rows
+_QUOTAS = rf"""rows AS (SELECT record_id, lower(regexp_extract({_sql_strip("label")}, '^(\p{{L}}+)', 1)) AS label, {_sql_name("source")} AS source FROM bangla_safety_prompt_dataset),
+c AS (SELECT t.label, t.source, target_share AS s, CAST(min_rows AS BIGINT) AS m, (SELECT count(*) FROM rows r WHERE r.label = t.label AND r.source = t.source) AS hi FROM sample_targets t),
+d AS (SELECT *, least(m, hi) AS lo FROM c),
+g AS (SELECT least((SELECT CAST(floor({SAMPLE_SHARE} * count(*) + 0.5) AS BIGINT) FROM rows), sum(CASE WHEN s > 0 THEN hi ELSE lo END)) AS goal, sum(lo) AS low FROM d),
+b AS (SELECT 0.0 AS b UNION SELECT lo / s FROM d WHERE s > 0 UNION SELECT hi / s FROM d WHERE s > 0),
+f AS (SELECT b, sum(greatest(lo, least(hi, b * s))) AS f, sum(CASE WHEN s > 0 AND lo / s <= b AND b < hi / s THEN s ELSE 0 END) AS growing FROM b, d GROUP BY b),
+l AS (SELECT CASE WHEN growing > 0 THEN b + (goal - f) / growing ELSE b END AS level FROM f, g WHERE f <= goal + 1e-9 ORDER BY b DESC LIMIT 1),
+e AS (SELECT d.*, goal, CASE WHEN low >= goal THEN lo * goal / greatest(1, low) ELSE greatest(lo, least(hi, level * s)) END AS exact FROM d, g LEFT JOIN l ON true),
+w AS (SELECT *, CAST(floor(exact + 1e-9) AS BIGINT) AS whole FROM e),
+q AS (SELECT *, whole + CASE WHEN row_number() OVER (ORDER BY round(exact - whole, 6) DESC, label, source) <= goal - sum(whole) OVER () THEN 1 ELSE 0 END AS quota FROM w)"""
+
 SQL: dict[str, str] = {
     "p1_plain_counts": rf"""SELECT min(record_id) AS keep_id, min(name) AS source, count(*) AS n_copies FROM (SELECT record_id, {_sql_folded("source")} AS s, {_sql_name("source")} AS name, {_sql_folded("prompt")} AS p
 FROM bangla_safety_prompt_dataset WHERE source IS NOT NULL AND prompt IS NOT NULL AND NOT regexp_full_match(prompt, '[{_BLANKS}]*') AND NOT regexp_matches(prompt, '^\s*\{{')) GROUP BY s, p""",
+    "p4_sample": f"""WITH {_QUOTAS}, o AS (SELECT r.*, quota, row_number() OVER (PARTITION BY r.label, r.source ORDER BY substr(md5('0:' || CAST(record_id AS VARCHAR)), 1, 12), record_id) AS k
+FROM rows r JOIN q ON r.label = q.label AND r.source = q.source) SELECT record_id, label, source FROM o WHERE k <= quota""",
+    "p4_report": f"""WITH {_QUOTAS}, a AS (SELECT *, coalesce(quota / nullif(sum(quota) OVER (), 0), 0.0) AS share FROM q)
+SELECT label, source, round(s, 6) AS target_share, m AS min_rows, hi AS available, quota, round(share, 6) AS actual_share,
+CASE WHEN hi = 0 THEN 'no rows' WHEN quota >= hi AND (share < s * {1 - sampling.TOLERANCE} OR quota < m) THEN 'exhausted' WHEN share > s * {1 + sampling.TOLERANCE} AND quota = m THEN 'minimum'
+WHEN share > s * {1 + sampling.TOLERANCE} THEN 'above' WHEN share < s * {1 - sampling.TOLERANCE} THEN 'below' ELSE 'met' END AS status FROM a""",
+    "p5_rows": rf"""SELECT part AS split, source, count(*) AS n_rows FROM (SELECT lower({_sql_strip("split")}) AS part, {_sql_name("source")} AS source, prompt FROM bangla_safety_prompt_dataset)
+WHERE part IN ('validation', 'test') AND NOT regexp_full_match(prompt, '[\p{{P}}{_BLANKS}]*') GROUP BY 1, 2""",
 }

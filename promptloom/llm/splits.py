@@ -253,16 +253,26 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("e").filter(pa.array(keep)), batch.column("t").filter(pa.array(keep))], ["e", "t"])
 
 
-def _rows(df: DataFrame, key: str, text: str, split: str, train: str, evaluation: tuple[str, ...], extra: tuple[str, ...] = ()) -> DataFrame:
+def _plain(df: DataFrame, key: str, text: str, split: str, train: str, evaluation: tuple[str, ...], extra: tuple[str, ...]) -> DataFrame:
     part = F.lower(core_text.strip(df[split]))
     rows = df.select(df[key].alias("id"), df[text].alias("text"), part.alias("part"), *(df[c].alias(f"x_{c}") for c in extra))
     rows = rows.filter(F.col("part").isin(train, *evaluation) & core_text.not_blank(F.col("text")))
-    rows = rows.withColumn("plain", plain_words(F.col("text"))).filter("plain <> ''")
+    return rows.withColumn("plain", plain_words(F.col("text"))).filter("plain <> ''")
+
+
+def _rows(df: DataFrame, key: str, text: str, split: str, train: str, evaluation: tuple[str, ...], extra: tuple[str, ...] = ()) -> DataFrame:
+    rows = _plain(df, key, text, split, train, evaluation, extra)
     # 16 bytes name a word sequence
     rows = rows.withColumns({"c": F.unhex(F.md5("plain")), "in_train": F.col("part") == train, "w": words_of(F.col("plain"))})
     return written(rows.drop("text", "plain"), "split-rows")
 
 
+def evaluation_rows(df: DataFrame, key: str, text: str, split: str, source: str, train: str = "train", evaluation: tuple[str, ...] = ("validation", "test")) -> DataFrame:
+    """``split, source, n_rows``: the evaluation rows that the search is about."""
+    rows = _plain(df, key, text, split, train, evaluation, (source,)).filter(F.col("part") != train)
+    return rows.groupBy(F.col("part").alias("split"), core_text.clean_name(F.col(f"x_{source}")).alias("source")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def _candidates(index: DataFrame, probes: DataFrame) -> DataFrame:
     """``e_id, t_id`` of texts with a window at like places. The evaluation texts of a frequent window are dealt to several parts, and
     its training texts go to each."""

@@ -1,6 +1,7 @@
 """The operators on pairs, groups and samples against brute force on small fixtures."""
 
 import collections
+import hashlib
 import json
 import os
 import random
@@ -220,27 +221,33 @@ def test_pack_keeps_capacity_and_wastes_little():
         assert fill.max(initial=0) <= 100
         least = max(1, -(-int(sizes.sum()) // 100), int((sizes > 50).sum()))  # no packing needs fewer
         assert len(fill) <= 1.03 * least + 1
-    groups = packing.step_groups(np.arange(130))
-    assert len(set(groups.tolist())) == 3 and np.ptp(np.bincount(groups, weights=np.arange(130))) < 150
 
 
-def test_pack_is_packing_by_tiers():
+def test_tiers_decide_the_packing():
     rng = np.random.default_rng(3)
-    for sizes in (rng.integers(1, 129, 600), np.minimum(128, rng.geometric(0.03, 600))):
-        tier = packing.tier_of(sizes, 128)
-        tiers = [sorted((int(s) for s in sizes[tier == k]), reverse=True) for k in range(packing.TIERS)]
-        want = []
-        for own in tiers:
-            while own:  # the tier's longest opens a container; its gap takes the longest that fits of the first tier that has one
-                window = [own.pop(0)]
-                while any(fits := [[x for x in t if x <= 128 - sum(window)] for t in tiers]):
-                    k = next(k for k, f in enumerate(fits) if f)
-                    tiers[k].remove(fits[k][0])
-                    window.append(fits[k][0])
-                want.append(window)
-        where = packing.pack(sizes, 128)
-        got = [sorted(sizes[where == c].tolist(), reverse=True) for c in range(int(where.max()) + 1)]
-        assert got == want
+    sizes = np.minimum(4096, rng.lognormal(6, 1, 5000).astype(int) + 1)
+    packings = {}
+    for tiers in (1, 2, 4, 6):
+        where = packing.pack(sizes, 4096, tiers)
+        fill = np.bincount(where, weights=sizes)
+        assert fill.max() <= 4096 and sizes.sum() / (4096 * len(fill)) >= 0.99
+        packings[tiers] = where.tolist()
+    assert len({tuple(x) for x in packings.values()}) == 4
+    assert packing.tier_of(np.array([4096, 2049, 2048, 1025, 1024, 512, 1]), 4096, 4).tolist() == [0, 0, 1, 1, 2, 3, 3]
+    # one long document with a gap, filled from the shorter tier before that tier's own windows are packed
+    assert packing.pack(np.array([60, 40, 50, 50]), 100, 2).tolist() == [0, 0, 1, 1]
+
+
+def test_step_groups_are_even_over_a_spec(spark):
+    rng = np.random.default_rng(1)
+    data = [(s, c, int(rng.integers(1, 50))) for s, n in ((1, 130), (2, 3)) for c in range(n) for _ in range(2)]
+    groups = packing.step_groups(spark.createDataFrame(data, "spec_id int, container_id long, n_tokens long")).collect()
+    tokens, count = collections.Counter(), collections.Counter()
+    for r in groups:
+        count[r.spec_id, r.step_group] += 1
+        tokens[r.spec_id, r.step_group] += sum(n for s, c, n in data if (s, c) == (r.spec_id, r.container_id))
+    assert sorted(count[1, k] for k in range(3)) == [43, 43, 44] and count[2, 0] == 3 and len(count) == 4
+    assert max(tokens[1, k] for k in range(3)) - min(tokens[1, k] for k in range(3)) < 150
 
 
 @needs_files
@@ -262,32 +269,44 @@ def test_packed_documents(spark):
     assert packing.pack_documents(df.limit(0), "doc_id", "text", specs).count() == 0
 
 
-def test_sample(spark):
-    data = [(i, "unsafe" if i % 4 else "safe", "big" if i % 10 else "small", 0) for i in range(4000)] + [(9001, None, "big", 0), (9002, "safe", None, 0)]
-    df = spark.createDataFrame(data, "record_id long, label string, source string, range int")
+def test_feasible_quotas():
+    assert sampling.quotas([0.9, 0.1], [0, 150], [1000, 1000], 200) == [50, 150]
+    assert sampling.quotas([0.5, 0.5], [0, 0], [10, 1000], 200) == [10, 190]
+    assert sampling.quotas([0.9, 0.1], [150, 150], [1000, 1000], 200) == [100, 100]
+    assert sampling.quotas([0.5, 0.5], [5, 5], [10, 20], 200) == [10, 20]
+    assert sampling.quotas([1 / 3] * 3, [0] * 3, [100] * 3, 100) == [34, 33, 33]
+    assert sampling.quotas([0.0, 1.0], [7, 0], [100, 100], 50) == [7, 43] and sampling.quotas([], [], [], 10) == [] and sampling.quotas([1.0], [3], [0], 10) == [0]
+
+
+@pytest.mark.parametrize("reservoir", [None, 40])
+def test_sample(spark, reservoir):
+    data = [(i, "unsafe" if i % 4 else "safe", "big" if i % 10 else "small", 0) for i in range(4000)] + [(9001, None, "big", 0), (9002, "safe", None, 0), (None, "safe", "big", 0)]
+    df = spark.createDataFrame(data, "record_id long, label string, source string, g int").repartition(3)
     targets = spark.createDataFrame([("safe", "big", 0.5, 1), ("unsafe", "big", 0.3, 1), ("unsafe", "small", 0.01, 30), ("safe", "small", 0.19, 1), ("safe", "none", 0.0, 5)], "label string, source string, target_share double, min_rows int")
     args = (df, "record_id", F.col("label"), F.col("source"))
-    plan = sampling.plan(*args, targets, 0.25)
+    plan = sampling.plan(*args, targets, 0.25, reservoir=reservoir)
     drawn = sampling.sample(*args, plan).collect()
     got = collections.Counter((r.label, r.source) for r in drawn)
-    have = collections.Counter((l, s) for _, l, s, _ in data)
-    want = {("safe", "big"): 500, ("unsafe", "big"): 300, ("unsafe", "small"): 30, ("safe", "small"): 190}
-    assert got == {k: min(n, have[k]) for k, n in want.items()} and len({r.id for r in drawn}) == len(drawn)
-    status = {(r.label, r.source): r.status for r in sampling.report(plan).collect()}
-    assert status["unsafe", "small"] == "minimum" and status["safe", "none"] == "no rows" and status["unsafe", "big"] == "met"
-    again = {r.id for r in sampling.sample(df.repartition(9), *args[1:], sampling.plan(df.repartition(9), *args[1:], targets, 0.25)).collect()}
-    assert again == {r.id for r in drawn}
-    assert sampling.sample(df.limit(0), *args[1:], sampling.plan(df.limit(0), *args[1:], targets, 0.25)).count() == 0
+    own = [(i, l, s) for i, l, s, _ in data if i is not None]
+    assert sum(got.values()) == 1001 and len({r.id for r in drawn}) == 1001 and got["unsafe", "small"] == 30 and got["safe", "small"] == 186 and abs(got["safe", "big"] * 3 - got["unsafe", "big"] * 5) < 10
+    digest = lambda i: (hashlib.md5(f"0:{i}".encode()).hexdigest()[:12], i)
+    assert {r.id for r in drawn} == {i for (l, s), n in got.items() for i in sorted((j for j, a, b in own if (a, b) == (l, s)), key=digest)[:n]}
+    status = {(r.label, r.source): r.status for r in sampling.report(plan, spark).collect()}
+    assert status["unsafe", "small"] == "minimum" and status["safe", "none"] == "no rows" and status["unsafe", "big"] == "below"
+    none = sampling.plan(df.limit(0), *args[1:], targets, 0.25)
+    assert sampling.sample(df.limit(0), *args[1:], none).count() == 0 and {r.status for r in sampling.report(none, spark).collect()} == {"no rows"}
 
 
 def test_shares_moved_by_an_exhausted_category_are_not_met(spark):
     rows = [("safe", "a", 0.25, 1, 900, 250), ("unsafe", "a", 0.25, 1, 900, 247), ("safe", "b", 0.3, 1, 900, 300), ("safe", "c", 0.2, 1, 120, 120), ("unsafe", "c", 0.0, 20, 900, 20)]
     names = ("label", "source", "target_share", "min_rows", "available", "quota")
-    plan = sampling.Plan(spark, [dict(zip(names, r), bound=0, rest=0) for r in rows])
-    assert {(r.label, r.source): r.status for r in sampling.report(plan).collect()} == {("safe", "a"): "above", ("unsafe", "a"): "above", ("safe", "b"): "above", ("safe", "c"): "exhausted", ("unsafe", "c"): "minimum"}
-    few = [("safe", "a", 0.495, 1, 900, 495), ("safe", "b", 0.495, 1, 900, 495), ("safe", "c", 0.01, 60, 900, 60)]
-    plan = sampling.Plan(spark, [dict(zip(names, r), bound=0, rest=0) for r in few])
-    assert {r.source: r.status for r in sampling.report(plan).collect()} == {"a": "below", "b": "below", "c": "minimum"}
+    plan = sampling.Plan(None, [dict(zip(names, r)) for r in rows])
+    assert {(r.label, r.source): r.status for r in sampling.report(plan, spark).collect()} == {("safe", "a"): "above", ("unsafe", "a"): "above", ("safe", "b"): "above", ("safe", "c"): "exhausted", ("unsafe", "c"): "minimum"}
+    few = [("safe", "a", 0.495, 1, 900, 495), ("safe", "b", 0.495, 1, 900, 495), ("safe", "c", 0.01, 60, 900, 60), ("safe", "d", 0.0, 5, 3, 3)]
+    plan = sampling.Plan(None, [dict(zip(names, r)) for r in few])
+    assert {r.source: r.status for r in sampling.report(plan, spark).collect()} == {"a": "below", "b": "below", "c": "minimum", "d": "exhausted"}
+    reached = sampling.Plan(None, [dict(zip(names, r)) for r in (("safe", "a", 0.5, 1, 50, 50), ("safe", "b", 0.5, 1, 90, 50))])
+    assert {r.status for r in sampling.report(reached, spark).collect()} == {"met"}
 
 
 def test_mix(spark):
@@ -296,32 +315,56 @@ def test_mix(spark):
     weights = spark.createDataFrame([("a", 0.7, 1), ("b", 0.3, 3), ("gone", 0.0, 2)], "source string, target_share double, max_repeats int")
     args = (df, "record_id", "prompt", "source")
     fitted = mixing.fit(*args, weights, 0.5)
-    mixed = mixing.mix(*args, fitted)
+    mixed = mixing.mix(fitted)
     rows = mixed.collect()
-    assert all(r.n_uses <= {"a": 1, "b": 3, None: 3}[r.source] for r in rows) and not {5001, 5002, 5003} & {r.id for r in rows}
-    report = {r.source: r for r in mixing.report(mixed, mixing.rows_of(*args), fitted).collect()}
+    assert all(r.n_uses <= {"a": 1, "b": 3, None: 1}[r.source] for r in rows) and not {5001, 5002, 5003} & {r.id for r in rows}
+    report = {r.source: r for r in mixing.report(fitted, mixed).collect()}
     assert abs(report["a"].actual_share - 0.7) < 0.05 and abs(report["b"].actual_share - 0.3) < 0.05 and report["gone"].status == "no rows"
     empty = mixing.fit(df.limit(0), *args[1:], weights, 0.5)
-    assert mixing.mix(df.limit(0), *args[1:], empty).count() == 0
+    assert mixing.mix(empty).count() == 0 and mixing.mix(mixing.fit(*args, weights.limit(0), 0.5)).count() == 0
 
 
-def test_small_shares_of_unnamed_rows_count(spark):
+def test_rows_without_a_source_count_by_their_posteriors(spark):
+    """A third of all rows names no source; the smaller source is an eighth of them, and reaches its target with their help."""
     data = [(i, "common", "b" if i % 10 == 0 else "a") for i in range(2000)] + [(5000 + i, "common", None) for i in range(1000)]
-    df = spark.createDataFrame(data, "record_id long, prompt string, source string")
-    weights = spark.createDataFrame([("a", 0.88, 1), ("b", 0.12, 1)], "source string, target_share double, max_repeats int")
-    args = (df, "record_id", "prompt", "source")
-    fitted = mixing.fit(*args, weights, 0.5)
-    mixed = mixing.mix(*args, fitted)
-    used = collections.Counter(r.source for r in mixed.collect() for _ in range(r.n_uses))
-    report = {r.source: r for r in mixing.report(mixed, mixing.rows_of(*args), fitted).collect()}
+    df = spark.createDataFrame(data, "record_id long, prompt string, source string").repartition(3)
+    weights = spark.createDataFrame([("a", 0.86, 1), ("b", 0.14, 1)], "source string, target_share double, max_repeats int")
+    fitted = mixing.fit(df, "record_id", "prompt", "source", weights, 0.5)
+    p = np.array([r.posterior for r in fitted.members.filter("posterior is not null").limit(1).collect()])
     a, b = (n * (n + 0.5) / (n + 0.5 * mixing.BUCKETS) for n in (1800, 200))
-    small = b / (a + b)  # under half a step of the grid
-    assert 0 < small < 0.1 and used[None] > 0 and abs(report["b"].mixed_size - 6 * (used["b"] + used[None] * small)) < 0.01
-    rate = fitted.rates[4, 0], fitted.rates[0, 4]
-    assert abs(rate[1] * 200 + rate[0] * 1000 * small - 0.12 * 1500) < 1  # expected rows of b: named, and its part of the unnamed
+    assert np.allclose(p, [[a / (a + b), b / (a + b)]])
+    soft, named = mixing.rates(p, fitted.steps, fitted.most, fitted.start)[0], fitted.named_rates()
+    sizes = 6 * (named * [1800, 200] + 1000 * soft * p[0])
+    assert np.allclose(sizes, [0.86 * 9000, 0.14 * 9000], rtol=0.01)
+    mixed = mixing.mix(fitted)
+    used = collections.Counter(r.source for r in mixed.collect() for _ in range(r.n_uses))
+    report = {r.source: r for r in mixing.report(fitted, mixed).collect()}
+    assert abs(report["b"].mixed_size - 6 * (used["b"] + used[None] * p[0, 1])) < 0.01 and used[None] > 0
+    assert {r.id for r in mixing.mix(fitted).collect()} == {r.id for r in mixed.collect()}
+
 
+def test_posteriors_of_a_batch():
+    rng = np.random.default_rng(0)
+    matrix = rng.normal(size=(mixing.BUCKETS + 1, 3))
+    lists = [[], [1, 2, 2], [5], [], list(range(40))]
+    got = mixing._posteriors(matrix, np.array([x for l in lists for x in l], np.int64), np.cumsum([0, *map(len, lists)]))
+    for own, p in zip(lists, got):
+        score = np.exp(matrix[-1] + sum((matrix[x] for x in own), np.zeros(3)))
+        assert np.allclose(p, score / score.sum())
 
-def test_rates_reach_feasible_targets():
-    member = np.array([[1, 0], [0, 1], [0.5, 0.5]])
-    rate = mixing.fit_rates(member, np.array([1000.0, 100.0, 50.0]), np.array([1.0, 4.0, 1.0]), np.array([300.0, 300.0]))
-    assert np.allclose(member.T @ (rate * [1000, 100, 50]), [300, 300], rtol=1e-3) and (rate >= 0).all() and (rate <= [1, 4, 1]).all()
+
+def test_rates_reach_feasible_targets(spark):
+    """Bounds bind for one source; the others still reach their targets."""
+    data = [(i, f"x{i % 7} alpha", "a") for i in range(900)] + [(2000 + i, f"x{i % 7} beta", "b") for i in range(90)] + [(3000 + i, f"x{i % 5} gamma", "c") for i in range(30)] + [(4000 + i, "alpha beta gamma"[: 5 + i % 11], None) for i in range(300)]
+    df = spark.createDataFrame(data, "record_id long, prompt string, source string")
+    weights = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 9), ("c", 0.2, 2)], "source string, target_share double, max_repeats int")
+    fitted = mixing.fit(df, "record_id", "prompt", "source", weights, 0.4)
+    report = {r.source: r for r in mixing.report(fitted, mixing.mix(fitted)).collect()}
+    named = fitted.named_rates()
+    assert (named >= 0).all() and (named <= [1, 9, 2]).all() and named[2] == 2.0
+    assert len(fitted.steps) <= mixing.STEPS and report["c"].status == "not met"
+    p = np.array([r.posterior for r in fitted.members.filter("posterior is not null").collect()])
+    size = np.array([r["size"] for r in fitted.members.filter("posterior is not null").collect()])
+    whole = {r.k: r.s for r in fitted.members.filter("k is not null").groupBy("k").agg(F.sum("size").alias("s")).collect()}
+    sizes = named * [whole[k] for k in range(3)] + (size * mixing.rates(p, fitted.steps, fitted.most, fitted.start)) @ p
+    assert np.allclose(sizes[:2], np.array([0.5, 0.3]) * fitted.total, rtol=0.02)
