@@ -29,8 +29,7 @@ SHARE = 1 / 6
 WORD_LIMIT, CHANGE = 6.0, 6.0
 #: Words that a run must have to make its language one of the text's.
 MIN_RUN = 4
-#: About so many labelled rows of each table and language are drawn to fit the model, besides the certain samples;
-#: never more than twice as many. Equal numbers keep a rare language's words as likely as those of a common one.
+#: About so many labelled rows of each table and language are drawn to fit the model, besides the certain samples. Equal numbers keep a rare language's words as likely as those of a common one.
 FIT_ROWS = 2_000
 #: What a row's own label says for its language, in nats, where the text leaves the choice open: most labels are right.
 #: Open is a text whose words alone, without the languages' shares, speak against the label by less than the margin.
@@ -94,20 +93,27 @@ class Model:
         self.codes, self.matrix, self.prior = codes, matrix, prior.astype(np.float32)
 
     @staticmethod
-    def fit(texts: list[str], labels: list[str], codes: list[str], sizes: dict[str, int] | None = None) -> Model:
-        """``sizes``: how many rows each language has; equal shares without."""
-        number = {c: k for k, c in enumerate(codes)}
-        counts = np.zeros((BUCKETS, len(codes)), np.float64)
-        arr = pa.array(texts, pa.string())
-        own = np.array([number[x] for x in labels], np.int64)
-        for a, b in at.slices(arr):
-            cps, starts, ends, rows = words_of(arr.slice(a, b - a))
+    def counts(texts: pa.Array, own: np.ndarray, languages: int) -> np.ndarray:
+        """How often each bucket [bucket x language, flat] occurs in texts of the given languages' numbers."""
+        out = np.zeros(BUCKETS * languages, np.int64)
+        for a, b in at.slices(texts):
+            cps, starts, ends, rows = words_of(texts.slice(a, b - a))
             bucket, offs = _features(cps, starts, ends)
             language = np.repeat(np.repeat(own[a:b], np.diff(rows)), np.diff(offs))
-            counts += np.bincount(bucket * len(codes) + language, minlength=counts.size).reshape(counts.shape)
-        counts += _SMOOTH
+            out += np.bincount(bucket * languages + language, minlength=len(out))
+        return out
+
+    @staticmethod
+    def of_counts(counts: np.ndarray, codes: list[str], sizes: dict[str, int] | None = None) -> Model:
+        """``sizes``: how many rows each language has; equal shares without."""
+        table = counts.reshape(BUCKETS, len(codes)) + _SMOOTH
         share = np.array([(sizes or {}).get(c, 0) for c in codes], np.float64) + (1 if not sizes else sum(sizes.values()) / 1000)
-        return Model(codes, np.log(counts / counts.sum(axis=0)).astype(np.float32), np.log(share / share.max()))
+        return Model(codes, np.log(table / table.sum(axis=0)).astype(np.float32), np.log(share / share.max()))
+
+    @staticmethod
+    def fit(texts: list[str], labels: list[str], codes: list[str], sizes: dict[str, int] | None = None) -> Model:
+        number = {c: k for k, c in enumerate(codes)}
+        return Model.of_counts(Model.counts(pa.array(texts, pa.string()), np.array([number[x] for x in labels], np.int64), len(codes)), codes, sizes)
 
     def word_scores(self, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Each word's score by language, 0 for the best and not below -WORD_LIMIT."""
@@ -216,19 +222,17 @@ def _identify(model: Model, only_wrong: bool = False) -> Callable:
                 text = np.searchsorted(rows, first, "right") - 1
                 count = np.bincount(text, minlength=len(rows) - 1)
                 label = np.array([number.get(x, -1) for x in part.column("label").to_pylist()], np.int64)[text]
-                alone = np.flatnonzero(count[text] == 1)
-                if len(alone):
-                    run_sums = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(scores, axis=0, dtype=np.float64)])
-                    own = run_sums[first[alone] + size[alone]] - run_sums[first[alone]]
-                    total = own + model.prior
-                    known = np.flatnonzero(label[alone] >= 0)
-                    known = known[own[known].max(axis=1) - own[known, label[alone][known]] < LABEL_MARGIN]
-                    total[known, label[alone][known]] += LABEL_WORTH
-                    lang[alone] = total.argmax(axis=1)
-                prob = np.exp(scores)
-                prob /= prob.sum(axis=1, keepdims=True)
-                sums = np.concatenate([np.zeros((1, prob.shape[1])), np.cumsum(prob, axis=0, dtype=np.float64)])
-                confidence = (sums[first + size] - sums[first])[np.arange(len(first)), lang] / np.maximum(1, size)
+                run_sums = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(scores, axis=0, dtype=np.float64)])
+                own = run_sums[first + size] - run_sums[first]
+                total = own + model.prior
+                alone = count[text] == 1
+                known = np.flatnonzero(alone & (label >= 0))
+                known = known[own[known].max(axis=1, initial=-np.inf) - own[known, label[known]] < LABEL_MARGIN]
+                total[known, label[known]] += LABEL_WORTH
+                lang[alone] = total[alone].argmax(axis=1)
+                # what decides is what the confidence says: words, shares and the label together
+                prob = np.exp(total - total.max(axis=1, keepdims=True, initial=-np.inf))
+                confidence = np.maximum(prob[np.arange(len(first)), lang] / prob.sum(axis=1), 1e-6)
                 position = np.arange(len(first)) - np.searchsorted(text, text)
                 if only_wrong:
                     wrong = np.flatnonzero((count[text] > 1) | (label != lang))
@@ -274,41 +278,63 @@ def fit(samples: DataFrame, lang: str, text: str, labelled: list[tuple[DataFrame
 
     ``labelled`` has tables with the names of their key, text and label; of each and each language about ``fit_rows`` rows are
     drawn, by the hash of the key, so that the draw does not depend on how the table is stored. Labels may be wrong:
-    rows whose text the first model puts elsewhere, or calls mixed, are left out.
+    rows whose text the first model puts elsewhere, or calls mixed, are left out. Texts stay in the tasks that read them; only
+    counts are collected, at most BUCKETS for each language.
     """
     rows = [r for r in samples.select(samples[lang].alias("lang"), samples[text].alias("text")).collect() if r.lang and r.text]
     codes = sorted({r.lang for r in rows})
-    texts, labels = [r.text for r in rows], [r.lang for r in rows]
-    model = Model.fit(texts, labels, codes)
-    more_texts, more_labels = [], []
+    number = {c: k for k, c in enumerate(codes)}
+    counts = Model.counts(pa.array([r.text for r in rows], pa.string()), np.array([number[r.lang] for r in rows], np.int64), len(codes))
+    first = Model.of_counts(counts, codes)
     rows_of: dict[str, int] = {}
+    drawn = None
     for df, key, text_, lang_ in labelled:
-        rows_ = df.select(F.xxhash64(df[key]).alias("h"), code_of(df[lang_], codes).alias("lang"), without_fields(df[text_]).alias("text"))
-        rows_ = rows_.filter(F.col("lang").isNotNull() & core_text.not_blank(F.col("text")))
-        own = {r.lang: r.n for r in rows_.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-        share = {k: min(1.0, fit_rows / n) for k, n in own.items()}
+        code = code_of(df[lang_], codes)
+        own = {r.lang: r.n for r in df.filter(df[text_].isNotNull()).groupBy(code.alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect() if r.lang is not None}
         rows_of |= {k: rows_of.get(k, 0) + n for k, n in own.items()}
-        if not share:
+        if not own:
             continue
-        below = F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, int(v * 2**32))))
-        drawn = rows_.filter(F.shiftrightunsigned("h", 32) < F.try_element_at(below, F.col("lang"))).orderBy("h", "text").limit(2 * fit_rows * len(codes))
-        for r in drawn.select("lang", "text").collect():
-            more_texts.append(r.text), more_labels.append(r.lang)
-    if not more_texts:
-        return model
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(more_texts)), pa.int64()), pa.nulls(len(more_texts), pa.string()), pa.array(more_texts)], ["rec_id", "label", "text"])
-    for found in _identify(model)(iter([batch])):
-        for k, n, lang_ in zip(*(found.column(c).to_pylist() for c in ("rec_id", "n_segments", "lang"))):
-            if n == 1 and lang_ == more_labels[k]:
-                texts.append(more_texts[k]), labels.append(lang_)
-    return Model.fit(texts, labels, codes, rows_of)
+        below = F.create_map(*(F.lit(x) for k, n in own.items() for x in (k, int(min(1.0, fit_rows / n) * 2**32))))
+        # rows are drawn before their texts are looked at
+        part = df.withColumn("_lang", code).filter(F.shiftrightunsigned(F.xxhash64(df[key]), 32) < F.try_element_at(below, F.col("_lang")))
+        part = part.select(F.col("_lang").alias("label"), without_fields(part[text_]).alias("text")).filter(core_text.not_blank(F.col("text")))
+        drawn = part if drawn is None else drawn.unionByName(part)
+    if drawn is None:
+        return first
+    got = drawn.mapInArrow(_agreeing_counts(first), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    if got.num_rows:
+        counts[got["slot"].to_numpy()] += got["n"].to_numpy()
+    return Model.of_counts(counts, codes, rows_of)
+
+
+def _agreeing_counts(model: Model) -> Callable:
+    """Buckets of the drawn texts that are of one language for the model, and that the one of their label; added up in each task."""
+    number = {c: k for k, c in enumerate(model.codes)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS * len(model.codes), np.int64)
+        for batch in batches:
+            label, text = batch.column(0), batch.column(1)
+            whole = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), pa.nulls(batch.num_rows, pa.string()), text], ["rec_id", "label", "text"])
+            said = np.full(batch.num_rows, -1)
+            for found in _identify(model)(iter([whole])):
+                alone = found.column("n_segments").to_numpy() == 1
+                said[found.column("rec_id").to_numpy()[alone]] = np.array([number[x] for x in found.column("lang").to_pylist()], np.int64)[alone]
+            own = np.array([number[x] for x in label.to_pylist()], np.int64)
+            same = np.flatnonzero(said == own)
+            if len(same):
+                total += Model.counts(text.take(pa.array(same)), own[same], len(model.codes))
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
+
+    return run
 
 
 def identify(df: DataFrame, key: str, text: str, lang: str, model: Model) -> DataFrame:
     """``rec_id, label, segment, n_segments, n_words, lang, confidence``: one row for each text, or for each segment of a mixed one.
 
-    ``label`` is the code that the row's label means, or null; it decides only where the text leaves the choice open. ``confidence`` is the mean probability of the language over the
-    segment's words. Null, blank and wordless texts (digits, punctuation) have no row. Field names of JSON texts
+    ``label`` is the code that the row's label means, or null; it decides only where the text leaves the choice open. ``confidence`` is the language's
+    posterior probability, by the segment's words, the languages' shares and, where it counts, the label. Null, blank and wordless texts (digits, punctuation) have no row. Field names of JSON texts
     don't count. There is no shuffle.
     """
     rows = df.select(df[key].cast("bigint").alias("rec_id"), code_of(df[lang], model.codes).alias("label"), without_fields(df[text]).alias("text"))
