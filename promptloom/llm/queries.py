@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.llm import budget, copies, encoding, language, mixing, mojibake, packing, sampling, splits, visual
+from promptloom.llm import bpe, budget, copies, encoding, language, mixing, mojibake, packing, sampling, splits, visual
 from promptloom.functions import text as core_text
 from promptloom.storage import table
 
@@ -16,6 +16,11 @@ CORPUS = "bangla_safety_prompt_dataset"
 SAMPLE_SHARE, MIX_SHARE = 0.1, 0.25
 
 
+def _vocabularies(spark: SparkSession) -> str:
+    """The folder of the public vocabularies, the same on all executors."""
+    return spark.conf.get("spark.promptloom.tokenizers", bpe.TOKENIZER_DIR)
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(table(spark, d, CORPUS), "record_id", "prompt", "source")
 
@@ -47,7 +52,7 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
 def p3_tokens(spark: SparkSession, d: str) -> DataFrame:
     codes = sorted(r.lang for r in table(spark, d, "language_samples").select("lang").distinct().collect())
     slices = {"source": core_text.clean_name(F.col("source")), "lang": language.code_of(F.col("lang"), codes), "topic_area": F.col("topic_area")}
-    return budget.budget(table(spark, d, CORPUS), "prompt", slices, "piece_bpe_32k")
+    return budget.budget(table(spark, d, CORPUS), "prompt", slices, "piece_bpe_32k", _vocabularies(spark))
 
 
 def _sample_plan(spark: SparkSession, d: str) -> tuple:
@@ -103,12 +108,12 @@ def _specs(spark: SparkSession, d: str) -> tuple[list[tuple[int, str, int]], Dat
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_documents(table(spark, d, "documents"), "doc_id", "text", _specs(spark, d)[0])
+    return packing.pack_documents(table(spark, d, "documents"), "doc_id", "text", _specs(spark, d)[0], _vocabularies(spark))
 
 
 def p9_summary(spark: SparkSession, d: str) -> DataFrame:
     specs, frame = _specs(spark, d)
-    return packing.summary(packing.pack_documents(table(spark, d, "documents"), "doc_id", "text", specs), frame)
+    return packing.summary(packing.pack_documents(table(spark, d, "documents"), "doc_id", "text", specs, _vocabularies(spark)), frame)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +137,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.encode(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
+    return encoding.encode(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k", _vocabularies(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
