@@ -113,10 +113,10 @@ class Plan:
 
 def _rows(df: DataFrame, key: str, label: Column, source: Column, wanted: list, seed: int) -> DataFrame:
     """``g`` (the target's number, -1 for none), ``id`` and ``priority``."""
-    number = F.lit(-1)
-    for k, r in enumerate(wanted):
-        number = F.when((label == r["label"]) & (source == r["source"]) & df[key].isNotNull(), F.lit(k)).otherwise(number)
-    return df.select(number.cast("int").alias("g"), df[key].alias("id"), priority(F.md5(F.concat(F.lit(f"{seed}:"), df[key].cast("string")))).alias("priority"))
+    # one look-up, so that label and source are worked out once a row
+    table = F.create_map(*(F.lit(x) for k, r in enumerate(wanted) for x in (f"{r['label']}\n{r['source']}", k))) if wanted else F.create_map(F.lit(""), F.lit(-1))
+    number = F.when(df[key].isNotNull(), F.try_element_at(table, F.concat(label, F.lit("\n"), source)))
+    return df.select(F.coalesce(number, F.lit(-1)).cast("int").alias("g"), df[key].alias("id"), priority(F.md5(F.concat(F.lit(f"{seed}:"), df[key].cast("string")))).alias("priority"))
 
 
 def plan(df: DataFrame, key: str, label: Column, source: Column, targets: DataFrame, fraction: float, seed: int = 0, reservoir: int | None = None) -> Plan:
