@@ -120,9 +120,7 @@ class Mix:
 
 def members(rows: DataFrame, names: list[str], matrix: np.ndarray) -> DataFrame:
     """``id, source, size``; ``k``, the number of the source that the row names, null without a target; ``posterior``, only of rows that name none."""
-    k = F.lit(None).cast("int")
-    for j, name in enumerate(names):
-        k = F.when(F.col("source") == name, j).otherwise(k)
+    k = F.try_element_at(F.create_map(*(F.lit(x) for j, name in enumerate(names) for x in (name, j))), F.col("source"))
     unnamed = F.when(F.col("source").isNull(), _features(F.col("text")))
     return rows.select("id", "source", "size", k.alias("k"), posteriors(matrix, unnamed).alias("posterior"))
 
