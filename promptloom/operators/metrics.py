@@ -62,9 +62,9 @@ def class_report(df: DataFrame, names: tuple[str, str] = ("safe", "unsafe")) ->
 
 
 def points(df: DataFrame) -> DataFrame:
-    """Rows of like ``model, score, yhat``, collapsed to their numbers of positives and negatives, written once: all that the metrics need."""
+    """Rows of like ``model, score, yhat``, collapsed to their numbers of positives and negatives: all that the metrics need."""
     kept = df.filter("y is not null").groupBy("model", "score", "yhat")
-    return written(kept.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")), "points")
+    return kept.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
 
 
 def _cumulative(made: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def log_loss(df: DataFrame, floor: float = 1e-7) -> DataFrame:
 
 def comparison(df: DataFrame) -> DataFrame:
     """``model, metric, value``: five metrics of each model, long; the predictions are read once."""
-    made = points(df)
+    made = written(points(df), "points")
     one, none = F.col("yhat") == 1, F.col("yhat") == 0
     cells = made.filter("yhat is not null").groupBy("model").agg(
         F.sum(F.when(one, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(one, F.col("n")).otherwise(0)).alias("fp"), F.sum(F.when(none, F.col("p")).otherwise(0)).alias("fn"), F.sum(F.when(none, F.col("n")).otherwise(0)).alias("tn")

@@ -37,7 +37,9 @@ def with_running(df: DataFrame, order: list[Column], sums: dict[str, Column], na
     range is all that is collected. One exchange, one write. The order must be total for a repeatable result.
     """
     slots = {f"_run_{k}": F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint")) for k, c in enumerate(sums.values())}
-    ranged = df.select("*", *(c.alias(s) for s, c in slots.items())).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # a number is named so that small ranges are not put together into one task
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.select("*", *(c.alias(s) for s, c in slots.items())).repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     if slots:
         schema = T.StructType([f if f.name not in slots else T.StructField(f.name, T.LongType()) for f in ranged.schema.fields])
         ranged = ranged.mapInArrow(_within_partition(list(slots)), schema)
