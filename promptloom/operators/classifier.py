@@ -10,16 +10,18 @@ import math
 import re
 from collections.abc import Callable
 
-from pyspark import StorageLevel
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.operators import metrics
+from promptloom.operators import descent, metrics
 from promptloom.operators.metrics import threshold
+from promptloom.storage import written
 
 _SCORES = "model string, y int, score double, yhat int"
 
@@ -47,6 +49,21 @@ def _done(spark: SparkSession, path: str) -> int:
     return max((int(re.search(r"checkpoint-epoch-(\d+)/", s.getPath().toString()).group(1)) for s in found or []), default=0)
 
 
+def _network(spark: SparkSession, features: int, seed: int, weights: np.ndarray | None = None) -> MultilayerPerceptronClassificationModel:
+    """A network without hidden layers with these weights, or with random ones: no step is made, the two rows only name the labels."""
+    step = MultilayerPerceptronClassifier(featuresCol="_features", labelCol="label", layers=[features, 2], maxIter=0, seed=seed)
+    if weights is not None:
+        step = step.setInitialWeights(Vectors.dense(weights))
+    return step.fit(spark.createDataFrame([(Vectors.sparse(features, {}), float(y)) for y in (0, 1)], ["_features", "label"]))
+
+
+def _sparse(base: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``label, indices, values``: only the features that a row has. A label that is not 0 or 1 is an error."""
+    label = F.when(F.col("label").isin(0, 1), F.col("label").cast("double")).otherwise(F.raise_error(F.lit("labels must be 0 or 1")))
+    made = base.transform(rows.select("text", label.alias("label"))).select("label", F.unwrap_udt("_features").alias("f"))
+    return made.select("label", "f.indices", "f.values")
+
+
 def train_epochs(
     train_rows: DataFrame, eval_rows: DataFrame, folder: str, name: str, epochs: int = 3, iterations: int = 5, features: int = 4096,
     log: Callable[[int, float | None, float | None, dict], None] | None = None,
@@ -56,26 +73,25 @@ def train_epochs(
     After each epoch ``{folder}/{name}/checkpoint-epoch-{e}`` is saved and ``log(e, training loss, evaluation loss, metrics)`` called; a
     later call with the same folder goes on after the last whole checkpoint. The end is saved as ``{folder}/{name}/final_model``. A loss
     that is undefined (no rows) is ``None``. Training rows must hold both labels.
+
+    Spark's own training keeps a dense copy of the rows, every feature of each; here rows stay sparse, written once, and only the weights are dense.
     """
     spark = train_rows.sparkSession
     path, base = f"{folder}/{name}", Pipeline(stages=_features(features)).fit(train_rows)
     done = _done(spark, path)
     model = PipelineModel.load(f"{path}/checkpoint-epoch-{done}") if done else None
-    rows = base.transform(train_rows.select("text", F.col("label").cast("double").alias("label"))).select("_features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    if done < epochs:
+        objective = descent.softmax_loss(written(_sparse(base, train_rows), "features"))
     for epoch in range(done + 1, epochs + 1):
-        step = MultilayerPerceptronClassifier(featuresCol="_features", labelCol="label", layers=[features, 2], maxIter=iterations, seed=epoch)
-        if model is not None:
-            step = step.setInitialWeights(model.stages[-1].weights)
-        fitted = step.fit(rows)
-        history = fitted.summary().objectiveHistory
+        start = (_network(spark, features, epoch) if model is None else model.stages[-1]).weights
+        weights, history = descent.minimise(objective, start.toArray(), iterations)
+        fitted = _network(spark, features, epoch, weights)
         model = PipelineModel([*base.stages, fitted])
         model.write().overwrite().save(f"{path}/checkpoint-epoch-{epoch}")
         if log is not None:
             scored = predict(model, eval_rows, name)
             loss, found = metrics.log_loss(scored).first(), metrics.precision_recall_f1(scored).first()
-            train_loss = float(history[-1]) if len(history) else None
-            log(epoch, None if train_loss is None or math.isnan(train_loss) else train_loss, loss.log_loss if loss else None, {k: v for k, v in found.asDict().items() if k != "model"} if found else {})
-    rows.unpersist()
+            log(epoch, None if math.isnan(history[-1]) else history[-1], loss.log_loss if loss else None, {k: v for k, v in found.asDict().items() if k != "model"} if found else {})
     if model is not None:
         model.write().overwrite().save(f"{path}/final_model")
     return model

@@ -272,3 +272,47 @@ def test_model_life_cycle(spark, tmp_path):
     assert names == ["a", "broken"] and list(failed) == ["broken"] and failed["broken"]
     assert {r.model for r in scored.collect()} == {"a"} and metrics.comparison(scored).count() == 5
     assert classifier.evaluate_all([], folder, df)[0].count() == 0
+
+
+def test_epochs_take_the_steps_of_sparks_network(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    from promptloom.operators import classifier
+
+    rng = np.random.default_rng(5)
+    rows = [(" ".join(f"w{w}" for w in rng.zipf(1.6, 9) % 200) * (i % 7 > 0), int(rng.random() < 0.4)) for i in range(100)]
+    df = spark.createDataFrame(rows, "text string, label int").coalesce(1)  # one block: the loss of Spark's network is the mean over rows
+    network = MultilayerPerceptronClassifier(featuresCol="_features", labelCol="label", layers=[64, 2], maxIter=12, seed=1)
+    model = Pipeline(stages=[*classifier._features(64), network]).fit(df)
+    want, loss = model.stages[-1].weights.toArray(), model.stages[-1].summary().objectiveHistory[-1]
+    for name, parts in (("one", df), ("uneven", df.repartition(7, "label", "text"))):
+        log = []
+        got = classifier.train_epochs(parts, df, str(tmp_path), name, 1, 12, 64, lambda *e: log.append(e))
+        assert np.allclose(got.stages[-1].weights.toArray(), want, rtol=1e-5, atol=1e-7) and abs(log[0][1] - loss) < 1e-9
+    assert [r.score for r in classifier.predict(got, df, "m").collect()] == pytest.approx([r.score for r in classifier.predict(model, df, "m").collect()], abs=1e-6)
+    with pytest.raises(Exception, match="0 or 1"):
+        classifier.train_epochs(spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "text string, label int"), df, str(tmp_path), "bad", 1, 2, 64)
+
+
+def test_epochs_keep_no_dense_rows(spark, tmp_path):
+    import threading
+
+    from promptloom.operators import classifier
+
+    spark.catalog.clearCache()
+    df = spark.range(1000).selectExpr("concat('word', id % 50, ' other', id) AS text", "cast(id % 2 AS int) AS label")
+    most, over = [0], threading.Event()
+
+    def look():
+        while not over.wait(0.01):
+            most[0] = max(most[0], sum(i.memSize() + i.diskSize() for i in spark.sparkContext._jsc.sc().getRDDStorageInfo()))
+
+    watch = threading.Thread(target=look)
+    watch.start()
+    try:
+        classifier.train_epochs(df, df, str(tmp_path), "wide", epochs=1, iterations=2, features=1 << 16)
+    finally:
+        over.set()
+        watch.join()
+    assert most[0] < 10_000_000  # every feature of each row would be 524 MB
